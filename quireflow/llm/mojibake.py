@@ -35,7 +35,11 @@ MIN_VOTES = 2
 
 _WIDE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}ー々-]+")
 _SURE = regex.compile("[\x00�]|^(?:þÿ|ÿþ|ï»¿)|(?<=[\\s\\d.])(?:þÿ|ÿþ)|[\x80-\x84\x86-\x9f]")
-_BAD = regex.compile(r"[\p{Cc}\p{Co}\p{Cn}\p{Cs}�]")
+_BAD = regex.compile(r"[\p{Cc}\p{Co}\p{Cn}\p{Cs}�ｦ-ﾟ─-▟]")
+_EBCDIC = ("cp037", "cp500", "cp1140")
+_PUNCHED = regex.compile(r"[A-Za-z0-9 .,:;()/&'-]{3,}")
+
+_ALPHABETS = regex.compile(r"\p{Latin}+|\p{Cyrillic}+|\p{Greek}+|[\p{Han}\p{Hiragana}\p{Katakana}ー]+|\p{Hangul}+")
 
 
 def _encode(text: str, codec: str) -> bytes | None:
@@ -79,7 +83,7 @@ def _plain(text: str) -> bool:
     if _BAD.search(text):
         return False
     for w in regex.findall(r"[\p{L}\p{M}]+", text):
-        if sum(bool(regex.search(rf"\p{{{s}}}", w)) for s in ("Latin", "Cyrillic", "Greek")) > 1:
+        if len(_ALPHABETS.findall(w)) > 1:
             return False
         if regex.search(r"\p{Ll}\p{Lu}\p{Ll}?\p{Lu}", w):
             return False
@@ -97,7 +101,10 @@ def readings(chunk: str, learned: tuple[tuple[str, str], ...]) -> tuple[tuple[st
         t = _decode(b, r)
         if t is None or t == chunk or t in found or not _plain(t):
             continue
-        if r != "utf-8" and len(t) == len(chunk) and t.isascii() and r not in ("cp037", "cp500", "cp1140"):
+        if r in _EBCDIC:  # letters and digits lie beyond ASCII there
+            if not _PUNCHED.fullmatch(t) or sum(c > "\x7f" for c in chunk) < 0.6 * len(chunk):
+                continue
+        elif r != "utf-8" and t.isascii():
             continue
         found[t] = f"{r} read as {w}"
         if r == "utf-8":  # the same again
