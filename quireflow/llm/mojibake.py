@@ -33,7 +33,7 @@ PAIRS_ANYWHERE = [(w, "utf-8") for w in READ_AS] + [(w, r) for w in READ_AS for
 PAIRS_LEARNED = [(w, r) for w in READ_AS[:10] for r in LATIN if w != r]
 MIN_VOTES = 2
 
-_WIDE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}ー々-]+")
+_WIDE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}ー々\ue000-\uf8ff]+")
 _SURE = regex.compile("[\x00�]|^(?:þÿ|ÿþ|ï»¿)|(?<=[\\s\\d.])(?:þÿ|ÿþ)|[\x80-\x84\x86-\x9f]")
 _BAD = regex.compile(r"[\p{Cc}\p{Co}\p{Cn}\p{Cs}�ｦ-ﾟ─-▟]")
 _EBCDIC = ("cp037", "cp500", "cp1140")

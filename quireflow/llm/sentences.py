@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from ..sources.tables import table
 from .spread import spread
 
-_NL = r"(?>\r\n|[\n\r\x0b\x0c\x85 ])"
-_BLANK = regex.compile(rf"{_NL}[^\S\n\r\x0b\x0c\x85  ]*{_NL}\s*| \s*")
+_NL = r"(?>\r\n|[\n\r\x0b\x0c\x85\u2028])"
+_BLANK = regex.compile(rf"{_NL}[^\S\n\r\x0b\x0c\x85\u2028\u2029]*{_NL}\s*|\u2029\s*")
 _LINE = regex.compile(_NL)
 _MARKER = regex.compile(r"[^\S\n\r]*(?:(?P<bullet>[-–—*•‣▪◦·●○■])|\(?(?P<number>\d{1,3})[.)]|\(?(?P<letter>[^\W\d_])\))[^\S\n\r]+\S")
 _TERM = regex.compile(r"[\p{SB=STerm}\p{SB=ATerm};;…]+(?:[\p{SB=STerm}\p{SB=ATerm}…])*")
@@ -137,7 +137,7 @@ def _ends(text: str, term: str, at: int, after: int, start: int, end: int) -> bo
         if not spaced:
             return False
         head = _LETTER.search(text, start, at)
-        return bool(head) and ("Ͱ" <= head[0] <= "Ͽ" or "ἀ" <= head[0] <= "῿")
+        return bool(head) and ("Ͱ" <= head[0] <= "Ͽ" or "ἀ" <= head[0] <= "\u1fff")
     if "…" in term or ".." in dots:
         if any(c in "!?！？。" for c in term):
             return True
