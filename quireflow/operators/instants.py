@@ -153,7 +153,7 @@ def normalise_instants(
     d = df.select(
         *keys,
         F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"),
-        F.regexp_replace(F.col(text), r"^[\s 　﻿]+|[\s 　﻿]+$", "").alias("_t"),
+        F.regexp_replace(F.col(text), r"^[\s\u00a0\u3000\ufeff]+|[\s\u00a0\u3000\ufeff]+$", "").alias("_t"),
         F.col(region).alias("_given"),
         F.col(day_is_midnight).alias("_midnight"),
     )
