@@ -105,7 +105,6 @@ def judge(points: DataFrame, keep: list[str]) -> DataFrame:
     d = d.withColumn("mark", mark).withColumn("unseen", unseen).withColumn("letter", letter & ~unseen)
     seen = F.when(~F.col("unseen"), ch)
     d = d.withColumn("prev", F.last(seen, True).over(text.rowsBetween(Window.unboundedPreceding, -1)))
-    d = d.withColumn("next", F.first(seen, True).over(text.rowsBetween(1, Window.unboundedFollowing)))
     d = d.withColumn("left1", F.lag("ch").over(text)).withColumn("right1", F.lead("ch").over(text))
     d = d.withColumn("word", F.sum(F.when(F.col("letter") | F.col("mark") | F.col("unseen"), 0).otherwise(1)).over(text.rowsBetween(Window.unboundedPreceding, 0)))
     latin = ch.rlike(r"^\p{IsLatin}$") & ~F.coalesce(kind.isin("numeral"), F.lit(False))
@@ -153,7 +152,7 @@ def judge(points: DataFrame, keep: list[str]) -> DataFrame:
         .when(kind == "wide_space", ~in_cjk)
         .when(kind == "hidden", ~(ch.isin("\u200e", "\u200f") & (k("t_rtl") > 0)))
         .when(kind == "joiner", ~F.coalesce(needed, F.lit(False)))
-        .when(kind == "numeral", (k("w_la") > 0) | (k("prev").rlike(r"^[\p{IsLatin}]$")) | (k("next").rlike(r"^\p{IsLatin}$")))
+        .when(kind == "numeral", (k("w_la") > 0) | (k("prev").rlike(r"^[\p{IsLatin}]$")) | (k("right1").rlike(r"^\p{IsLatin}$")))
         .when(k("mark"), k("joined").isNotNull())
         .when(jamo, True)
         .when(k("cy") == 1, c1)
