@@ -18,6 +18,7 @@ from functools import cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from ..sources.tables import one_per_id, table
@@ -179,7 +180,7 @@ def _shape(c: Column) -> Column:
     return F.regexp_replace(c, r"\d", "9")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def compose(s: pd.Series) -> pd.Series:
     """Canonical composition; marks are put in the order of their classes."""
     return s.map(lambda v: unicodedata.normalize("NFC", v) if v is not None and not v.isascii() else v)
