@@ -43,7 +43,7 @@ NOTATIONS = (
     Notation("german", rf"^{_D12}\. ([A-Za-zäÄ]+) {_D4}, {_CLOCK} Uhr$", "d n y h i s f"),
     Notation("american", rf"^([A-Za-z]{{3,9}}) {_D12}, {_D4} {_CLOCK} ?([AaPp][Mm])? ?{_ZONE}$", "n d y h i s f p z"),
     Notation("openssl", rf"^([A-Za-z]{{3}}) +{_D12} {_CLOCK} {_D4} ([A-Z]{{3,4}})$", "n d h i s f y z"),
-    Notation("asn1_long", r"^(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)(\d\d)?(?:[.,](\d{1,12}))?(Z|[+-]\d{4})$", "y m d h i s f z"),
+    Notation("asn1_long", r"^(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)(\d\d)(?:[.,](\d{1,12}))?(Z|[+-]\d{4})$", "y m d h i s f z"),
     Notation("asn1_short", r"^(\d\d)(\d\d)(\d\d)(\d\d)(\d\d)(\d\d)?(Z|[+-]\d{4})$", "v m d h i s z"),
     Notation("epoch_s", r"^(\d{9,10})$", "e"),
     Notation("epoch_ms", r"^(\d{12,13})$", "E"),
