@@ -136,8 +136,8 @@ def judge(points: DataFrame, keep: list[str]) -> DataFrame:
         latin_is_odd = (k("la") == 1) & mixed & (k(f"w_{only}") > 0) & (k(f"w_{not_like}") == 0)
         alone = (k(n) == 1) & (k("w_la") == 0) & (k(f"w_{only}") == 0) & (k(f"t_{only}") == 0)
         in_latin = alone & (k("t_la") > 0)
-        # a small Latin word that could be all of the text's alphabet
-        latin_alone = (k("la") == 1) & (k(f"w_{n}") == 0) & (k(f"w_{not_like}") == 0) & (k("w_small") > 0) & (k(f"t_{only}") > 0) & (k(f"t_{not_like}") == 0)
+        # a small Latin word that could be all of the text's alphabet; Greek letters of formulas don't make a text Greek
+        latin_alone = (F.lit(own_kind == "cyrillic")) & (k("la") == 1) & (k(f"w_{n}") == 0) & (k(f"w_{not_like}") == 0) & (k("w_small") > 0) & (k(f"t_{only}") > 0) & (k(f"t_{not_like}") == 0)
         return this_is_odd | in_latin, latin_is_odd | latin_alone, alone & (k("t_la") == 0)
 
     c1, c2, c3 = foreign("cyrillic", "cy", "cy_only", "la_not_cy")
@@ -163,7 +163,7 @@ def judge(points: DataFrame, keep: list[str]) -> DataFrame:
     )
     plain = (
         F.when(~k("odd"), ch)
-        .when(k("la") == 1, F.when(k("w_cy") + k("t_cy_only") > 0, _back(CYRILLIC, ch)).otherwise(_back(GREEK, ch)))
+        .when((k("la") == 1) & kind.isNull(), F.when(k("w_cy") + k("t_cy_only") > 0, _back(CYRILLIC, ch)).otherwise(_back(GREEK, ch)))
         .otherwise(F.coalesce("plain", ch))
     )
     undecided = F.when((k("cy") == 1) & letters, c3).when((k("gr") == 1) & letters, g3).otherwise(False)
