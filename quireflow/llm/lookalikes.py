@@ -22,17 +22,9 @@ from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from ..sources.tables import one_per_id, table
+from .letters import CYRILLIC, GREEK, HIDDEN, LATIN_LIKE, SPACES
 from .mojibake import find_garbled, text_values
 
-#: Letters of other alphabets that look like Latin ones.
-CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХҮЗаеорсухѕіјһԁԛԝӏүԍѵ", "ABESIJKMHOPCTYXY3aeopcyxsijhdqwlygv", strict=True))
-GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳαγικνορυχωηϲ", "ABEZHIKMNOPTYXCjayiκvopuxwnc", strict=True))
-for _c in "ικЗ":
-    CYRILLIC.pop(_c, None)
-GREEK.pop("κ", None)
-LATIN_LIKE = {"ɡ": "g", "ɑ": "a", "ⅼ": "l"}
-SPACES = "\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
-HIDDEN = "\u00ad\u200b\u200e\u200f\u2060\u2061\u2062\u2063\u2064\u180e\u202a\u202b\u202c\u202d\u202e\u2066\u2067\u2068\u2069\ufeff"
 HYPHENS = "\u2010\u2011\ufe63"
 _CJK = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsBopomofo}ー々]"
 _JOINING = r"[\p{IsArabic}\p{IsDevanagari}\p{IsBengali}\p{IsGurmukhi}\p{IsGujarati}\p{IsOriya}\p{IsTamil}\p{IsTelugu}\p{IsKannada}\p{IsMalayalam}\p{IsSinhala}\p{IsKhmer}\p{IsMyanmar}\p{IsMongolian}\p{IsSyriac}\p{IsTibetan}\p{IsThaana}]"

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import cut_lineage, one_per_id, table
+from .letters import CYRILLIC, GREEK, HIDDEN
 from .spread import spread
 
 #: Encodings by what they write. `latin` writes Western letters, whose ASCII neighbours make twins possible.
@@ -35,7 +36,10 @@ MIN_VOTES = 2
 
 _WIDE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}ー々\ue000-\uf8ff]+")
 _SURE = regex.compile("[\x00�]|^(?:þÿ|ÿþ|ï»¿)|(?<=[\\s\\d.])(?:þÿ|ÿþ)|[\x80-\x84\x86-\x9f]")
-_BAD = regex.compile(r"[\p{Cc}\p{Co}\p{Cn}\p{Cs}�ｦ-ﾟ─-▟]")
+_BAD = regex.compile(r"[\p{Cc}\p{Co}\p{Cn}\p{Cs}�｡-ﾟ─-▟]")
+#: Marks around words that don't count as part of them.
+_EDGES = regex.compile(r"^[!-/:-@\[-`{-~«»“”„‘’…–—¿¡。，！？（）：、]+|[!-/:-@\[-`{-~«»“”„‘’…–—¿¡。，！？（）：、]+$")
+_LOOK = {ord(c): p for c, p in (CYRILLIC | GREEK).items()} | {ord(c): None for c in HIDDEN + "\u200c\u200d"} | {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)}
 _EBCDIC = ("cp037", "cp500", "cp1140")
 _PUNCHED = regex.compile(r"[A-Za-z0-9 .,:;()/&'-]{3,}")
 
@@ -72,7 +76,7 @@ def chunk_features(chunk: str) -> list[str]:
             out.extend(r[i : i + 2] for i in range(len(r) - 1)) if len(r) > 1 else out.append(r)
         rest = _WIDE.sub(" ", c) if runs else c
         for w in rest.split(" "):
-            core = regex.sub(r"^[\p{P}\p{S}]+|[\p{P}\p{S}]+$", "", w) if w.isascii() or regex.search(r"\p{L}\p{L}", w) else w
+            core = _EDGES.sub("", w) if w.isascii() or regex.search(r"\p{L}\p{L}", w) else w
             if core or w:
                 out.append(core or w)
     return out
@@ -106,6 +110,8 @@ def readings(chunk: str, learned: tuple[tuple[str, str], ...]) -> tuple[tuple[st
                 continue
         elif r != "utf-8" and t.isascii():
             continue
+        elif r in OTHER and regex.search(r"\p{Latin}", t) and not regex.search(r"[\p{Cyrillic}\p{Greek}]{3}|[\p{Han}\p{Hangul}\p{Hiragana}\p{Katakana}]", t):
+            continue
         found[t] = f"{r} read as {w}"
         if r == "utf-8":  # the same again
             for w2 in ("cp1252", "cp1250", "mac_roman", "cp437"):
@@ -113,6 +119,9 @@ def readings(chunk: str, learned: tuple[tuple[str, str], ...]) -> tuple[tuple[st
                 t2 = _decode(b2, "utf-8") if b2 is not None else None
                 if t2 is not None and t2 != t and _plain(t2):
                     found.setdefault(t2, f"{r} read as {w2}, then {r} read as {w}")
+    look = chunk.translate(_LOOK)
+    if look != chunk and look and _plain(look):  # nothing decoded wrongly: letters that look the same
+        found[look] = "look-alikes"
     if all(ord(c) > 0xFF or c == "\x00" for c in chunk):
         t = _decode(chunk.encode("utf-16-be", "surrogatepass"), "utf-16-le")
         if t and _plain(t):
@@ -229,7 +238,7 @@ def garbled_chunks(values: DataFrame) -> DataFrame:
     judged = scored.groupBy("chunk").agg(own.alias("own"), best.alias("best"))
     gain = F.col("best.score") - F.col("own")
     utf8 = F.col("best.way").startswith("utf-8")
-    good = (F.col("best.way") != "") & F.when(utf8, (gain > -0.5) | (F.col("best.known") >= 0.5)).otherwise((gain > 1.5) & (F.col("best.known") >= 0.6))
+    good = ~F.col("best.way").isin("", "look-alikes") & F.when(utf8, (gain > -0.5) | (F.col("best.known") >= 0.5)).otherwise((gain > 1.5) & (F.col("best.known") >= 0.6))
     return judged.where(good).select("chunk", F.col("best.restored").alias("restored"), F.col("best.way").alias("way"))
 
 
