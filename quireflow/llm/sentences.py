@@ -154,6 +154,10 @@ def _ends(text: str, term: str, at: int, after: int, start: int, end: int) -> bo
         if follow in ",;:)]}»”’%" or follow.isdigit():
             return False
         low = word.lower()
+        if low in _MAYBE and first.isupper() and text[j + 1 : j + 2].islower():
+            return len(word) > 1 or bool(regex.search(r"\d\s$", text[max(start, at - len(word) - 2) : at - len(word)]))
+        if low == "no" and first.isupper() and text[j + 1 : j + 2].islower():
+            return text[start : at - len(word)].strip(" “„\"'(«¡¿") == ""
         if first.isupper():
             tail = text[j + 1] if j + 1 < end else " "
             solid = len(word) >= 2 and "." not in word and "_" not in word and "/" not in word and "\\" not in word and "@" not in word
@@ -249,6 +253,8 @@ def _block(text: str, start: int, end: int, out: list[tuple[int, int]]) -> None:
         if a < b:
             out.append((a, b))
 
+    while start < end and text[start].isspace():
+        start += 1
     if m := _MARKER.match(text, start, end):
         # a list: each line with a marker of the same kind begins an item, a number must follow the one before
         kind, number, begin = m.lastgroup, int(m["number"] or 0), start
