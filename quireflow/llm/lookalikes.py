@@ -89,7 +89,9 @@ def judge(points: DataFrame, keep: list[str]) -> DataFrame:
     spark = points.sparkSession
     codes = F.broadcast(spark.createDataFrame(list(code_table()), "ch string, plain string, kind string"))
     pairs = F.broadcast(spark.createDataFrame(list(composed_table()), "prev string, ch string, joined string"))
-    d = points.join(codes, "ch", "left")
+    # windows cost time by code points, which compress to little: a number of partitions keeps them from being merged by their bytes
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    d = points.repartition(parts, "text_id").join(codes, "ch", "left")
     text = Window.partitionBy("text_id").orderBy("pos")
     ch, kind = F.col("ch"), F.col("kind")
     mark = ch.rlike(r"^\p{M}$")
