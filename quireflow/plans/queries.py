@@ -426,4 +426,69 @@ def line_kinds(spark, d):
     return l.groupBy("doc_id").agg(F.count_if(k == "bullet").alias("bullets"), F.count_if(k == "number").alias("numbers"), F.count_if(F.col("line").rlike(r"^[ \t\r]*$")).alias("blanks"), F.count(F.lit(1)).alias("lines"))
 
 
+@query(f"""
+with d as (select doc, page, idx, round(sqrt(power((rect.left::double + rect.right::double) / 2 - 150, 2) + power((rect.bottom::double + rect.top::double) / 2 - 700, 2)), 6) as dist from {_CH})
+select doc, page, arg_min(idx, (dist, idx))::int as nearest, min(dist) as dist from d group by doc, page""")
+def nearest_glyph(spark, d):
+    """The glyph of each page whose centre is nearest to a point, the first of several."""
+    mid = lambda a, b: (F.col(f"rect.{a}").cast("double") + F.col(f"rect.{b}").cast("double")) / 2
+    dist = F.round(F.sqrt(F.pow(mid("left", "right") - 150, F.lit(2)) + F.pow(mid("bottom", "top") - 700, F.lit(2))), 6)
+    c = _chars(spark, d).select("doc", "page", "idx", dist.alias("dist"))
+    return c.groupBy("doc", "page").agg(F.min_by("idx", F.struct("dist", "idx")).alias("nearest"), F.min("dist").alias("dist"))
+
+
+@query(f"""
+with l as (select doc, page, line.block as b, line.par as p, line.line as l, min(left_px) as x0, max(left_px + width_px) as x1 from {_WO} where text is not null group by all),
+w as (select doc, page, line.block as b, line.par as p, line.line as l, word_id, left_px, lag(left_px + width_px) over (partition by doc, page, line.block, line.par, line.line order by left_px, word_id) as pr from {_WO} where text is not null),
+g as (select doc, page, b, p, l, max(left_px - pr) as gap, arg_max((left_px + pr) / 2.0, (left_px - pr, -left_px)) as centre from w where pr is not null group by all),
+s as (select doc, page, max(x1) - min(x0) as span, count(*) as lines from l group by all),
+h as (select g.doc, g.page, count(*) as wide, max(centre) - min(centre) as spread from g join s on s.doc = g.doc and s.page = g.page where gap >= span / 12.0 group by all)
+select s.doc, s.page, s.lines, coalesce(h.wide, 0)::bigint as wide, (s.lines >= 6 and coalesce(h.wide, 0) >= 0.4 * s.lines and h.spread <= s.span / 10.0) is true as columns from s left join h on h.doc = s.doc and h.page = s.page""")
+def column_pages(spark, d):
+    """Pages that look like two columns: enough lines whose widest gap is wide and stands at one place."""
+    w = _words(spark, d).where(F.col("text").isNotNull()).select("doc", "page", "word_id", "left_px", (F.col("left_px") + F.col("width_px")).alias("right"), F.col("line.block").alias("b"), F.col("line.par").alias("p"), F.col("line.line").alias("l"))
+    key = ["doc", "page", "b", "p", "l"]
+    w = w.withColumn("pr", F.lag("right").over(Window.partitionBy(*key).orderBy("left_px", "word_id")))
+    gap = F.col("left_px") - F.col("pr")
+    lines = w.groupBy(*key).agg(F.min("left_px").alias("x0"), F.max("right").alias("x1"), F.max(gap).alias("gap"), F.max_by((F.col("left_px") + F.col("pr")) / 2, F.when(F.col("pr").isNotNull(), F.struct(gap, -F.col("left_px")))).alias("centre"))
+    page = Window.partitionBy("doc", "page")
+    lines = lines.withColumn("span", F.max("x1").over(page) - F.min("x0").over(page))
+    wide = F.col("gap") >= F.col("span") / 12
+    p = lines.groupBy("doc", "page").agg(F.count(F.lit(1)).alias("lines"), F.count_if(wide).alias("wide"), F.first("span").alias("span"), (F.max(F.when(wide, F.col("centre"))) - F.min(F.when(wide, F.col("centre")))).alias("spread"))
+    is_so = (F.col("lines") >= 6) & (F.col("wide") >= 0.4 * F.col("lines")) & (F.col("spread") <= F.col("span") / 10)
+    return p.select("doc", "page", "lines", "wide", F.coalesce(is_so, F.lit(False)).alias("columns"))
+
+
+@query("""
+with e as (select user_id, event_id, ts, (event_id * 31) % 5 as gen from events), m as (select *, max(gen) over (partition by user_id order by event_id rows unbounded preceding) as newest from e)
+select user_id, event_id, gen::bigint as gen from m where gen >= newest""")
+def stale_requests(spark, d):
+    """Requests whose generation is no older than the newest that their key has shown before (the batch form of the stream's rule)."""
+    e = table(spark, d, "events").select("user_id", "event_id", ((F.col("event_id") * 31) % 5).alias("gen"))
+    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return e.withColumn("newest", F.max("gen").over(w)).where(F.col("gen") >= F.col("newest")).drop("newest")
+
+
+@query("""
+select r.r_name, count(distinct n.n_nationkey) as nations, count(distinct s.s_suppkey) as suppliers, count(distinct c.c_custkey) as customers
+from region r left join nation n on n.n_regionkey = r.r_regionkey left join supplier s on s.s_nationkey = n.n_nationkey left join customer c on c.c_nationkey = n.n_nationkey where r.r_name in ('ASIA', 'EUROPE') group by r.r_name""")
+def reachable(spark, d):
+    """What can be reached from chosen roots: each level is counted before it is joined, so nothing multiplies."""
+    s = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("s"))
+    c = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("c"))
+    n = table(spark, d, "nation").join(s, "n_nationkey", "left").join(c, "n_nationkey", "left")
+    r = table(spark, d, "region").where(F.col("r_name").isin("ASIA", "EUROPE"))
+    return r.join(n, F.col("r_regionkey") == F.col("n_regionkey"), "left").groupBy("r_name").agg(F.count("n_nationkey").alias("nations"), F.coalesce(F.sum("s"), F.lit(0)).alias("suppliers"), F.coalesce(F.sum("c"), F.lit(0)).alias("customers"))
+
+
+@query("""
+with c as (select unnest(['#ff8000', '#000000', 'ff8000', '#12', '#0A141E']) as text), v as (select text, regexp_full_match(text, '#[0-9A-Fa-f]{6}') as ok from c)
+select text, case when ok then round(('0x'||text[2:3])::int / 255.0, 6)::double end as r, case when ok then round(('0x'||text[4:5])::int / 255.0, 6)::double end as g, case when ok then round(('0x'||text[6:7])::int / 255.0, 6)::double end as b from v""")
+def colours(spark, d):
+    c = spark.createDataFrame([(x,) for x in ("#ff8000", "#000000", "ff8000", "#12", "#0A141E")], "text string")
+    ok = F.col("text").rlike("^#[0-9A-Fa-f]{6}$")
+    part = lambda a: F.when(ok, F.round(F.conv(F.substring("text", a, 2), 16, 10).cast("double") / 255, 6))
+    return c.select("text", part(2).alias("r"), part(4).alias("g"), part(6).alias("b"))
+
+
 QUERIES |= {"p3_found": instants.p3_found, "p3_readings": instants.p3_readings, "p4_found": nested.p4_found, "p4_tables": nested.p4_tables}
