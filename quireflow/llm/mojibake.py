@@ -7,6 +7,9 @@ enough votes are the learned transformations. They, and the pairs whose texts ke
 (other scripts, UTF-8, EBCDIC, UTF-16 of wrong byte order), are applied to all chunks. A restored chunk is accepted if
 what it is made of is common in the corpus and what it was made of isn't.
 
+Encodings that write with ASCII alone (UTF-7, ISO-2022, HZ) leave no character beyond ASCII: chunks that hold one of their
+shifts are tried too, and where one of a value's chunks is accepted, its others were written by the same encoding.
+
 Replacement characters, byte order marks read as text, NUL and C1 controls show a wrong decoding by themselves, even
 where nothing can be restored. Null and empty values are no case; rows that repeat an id count once.
 """
@@ -33,6 +36,10 @@ OTHER = "cp1251 cp1253 koi8_r cp866 cp855 mac_cyrillic gb18030 cp932 euc_jp cp94
 PAIRS_ANYWHERE = [(w, "utf-8") for w in READ_AS] + [(w, r) for w in READ_AS for r in OTHER if w != r and not (w in ("gbk", "cp932", "cp949", "big5") and r in OTHER)]
 PAIRS_LEARNED = [(w, r) for w in READ_AS[:10] for r in LATIN if w != r]
 MIN_VOTES = 2
+#: Encodings that write with ASCII alone, by the shifts that show them.
+SHIFTS = {"utf-7": r"\+[A-Za-z0-9/]{2,}-?", "iso2022_jp_2": r"\x1b[$(.]", "iso2022_kr": r"\x1b\$\)C|\x0e", "hz": r"~\{"}
+#: Values and chunks that may have been decoded wrongly.
+ODD = "|".join([r"[^\x01-\x7e]", *SHIFTS.values()])
 
 _WIDE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}ー々\ue000-\uf8ff]+")
 _SURE = regex.compile("[\x00�]|^(?:þÿ|ÿþ|ï»¿)|(?<=[\\s\\d.])(?:þÿ|ÿþ)|[\x80-\x84\x86-\x9f]")
@@ -94,6 +101,17 @@ def _plain(text: str) -> bool:
     return True
 
 
+def unshift(text: str, codec: str) -> str | None:
+    """The text of one written by an encoding of ASCII alone; null if it isn't such."""
+    if not text.isascii() or not regex.search(SHIFTS[codec], text):
+        return None
+    data = text.encode("ascii")
+    if codec == "iso2022_kr" and not data.startswith(b"\x1b$)C"):  # announced once, at the beginning of a text
+        data = b"\x1b$)C" + data
+    t = _decode(data, codec)
+    return None if t is None or t == text else t
+
+
 @lru_cache(maxsize=50_000)
 def readings(chunk: str, learned: tuple[tuple[str, str], ...]) -> tuple[tuple[str, str], ...]:
     """(way, restored) of each way in which the chunk may have been decoded wrongly."""
@@ -126,6 +144,10 @@ def readings(chunk: str, learned: tuple[tuple[str, str], ...]) -> tuple[tuple[st
         t = _decode(chunk.encode("utf-16-be", "surrogatepass"), "utf-16-le")
         if t and _plain(t):
             found.setdefault(t, "utf-16 of the other byte order")
+    for codec in SHIFTS:
+        t = unshift(chunk, codec)
+        if t and _plain(t):
+            found.setdefault(t, f"{codec} read as ascii")
     return tuple((way, t) for t, way in found.items())
 
 
@@ -227,18 +249,19 @@ def garbled_chunks(values: DataFrame) -> DataFrame:
                 rows.extend((chunk, way, t, chunk_features(t)) for way, t in ways)
             yield pd.DataFrame(rows, columns=["chunk", "way", "restored", "features"])
 
-    odd = spread(chunks.where(F.col("chunk").rlike(r"[^\x01-\x7e]")).select("chunk"))
+    odd = spread(chunks.where(F.col("chunk").rlike(ODD)).select("chunk"))
     tried = odd.mapInPandas(work, "chunk string, way string, restored string, features array<string>")
     asked = tried.select("chunk", "way", "restored", F.explode_outer("features").alias("feature")).join(counts, "feature", "left")
     n = F.coalesce(F.col("n"), F.lit(0))
     # a restored chunk's features include nothing of the garbled ones, so that its counts are those of right text
-    scored = asked.groupBy("chunk", "way", "restored").agg(F.avg(F.log2(n + 0.25)).alias("score"), F.avg(F.when(n >= 2, 1.0).otherwise(0.0)).alias("known"))
+    scored = asked.groupBy("chunk", "way", "restored").agg(F.avg(F.log2(n + 0.25)).alias("score"), F.avg(F.when(n >= 2, 1.0).otherwise(0.0)).alias("known"), F.avg(F.when(n >= 1, 1.0).otherwise(0.0)).alias("seen"))
     own = F.max(F.when(F.col("way") == "", F.col("score")))
-    best = F.max_by(F.struct("restored", "way", "score", "known"), F.struct(F.when(F.col("way") != "", F.col("score")), F.col("restored")))
+    best = F.max_by(F.struct("restored", "way", "score", "known", "seen"), F.struct(F.when(F.col("way") != "", F.col("score")), F.col("restored")))
     judged = scored.groupBy("chunk").agg(own.alias("own"), best.alias("best"))
     gain = F.col("best.score") - F.col("own")
     utf8 = F.col("best.way").startswith("utf-8")
-    good = ~F.col("best.way").isin("", "look-alikes") & F.when(utf8, (gain > -0.5) | (F.col("best.known") >= 0.5)).otherwise((gain > 1.5) & (F.col("best.known") >= 0.6))
+    shifted = F.col("best.way").endswith(" read as ascii")
+    good = ~F.col("best.way").isin("", "look-alikes") & F.when(utf8, (gain > -0.5) | (F.col("best.known") >= 0.5)).when(shifted, (gain > -0.5) & (F.col("best.seen") >= 0.6)).otherwise((gain > 1.5) & (F.col("best.known") >= 0.6))
     return judged.where(good).select("chunk", F.col("best.restored").alias("restored"), F.col("best.way").alias("way"))
 
 
@@ -249,10 +272,12 @@ def find_garbled(values: DataFrame) -> DataFrame:
     sure = values.where(F.col("value").rlike("[\\x00�\\x80-\\x84\\x86-\\x9f]|^(þÿ|ÿþ|ï»¿)|[\\s\\d.](þÿ|ÿþ)"))
     mark = F.pandas_udf(lambda s: s.map(lambda v: restore_marked(v) if v is not None else None), "string")
     sure = sure.select("source_table", "row_id", "value", mark("value").alias("marked"))
-    odd = values.where(F.col("value").rlike(r"[^\x01-\x7e]")).select("source_table", "row_id", "value", F.posexplode(F.split("value", " ")).alias("i", "chunk"))
+    odd = values.where(F.col("value").rlike(ODD)).select("source_table", "row_id", "value", F.posexplode(F.split("value", " ")).alias("i", "chunk"))
     hits = odd.join(bad, "chunk", "left")
     whole = F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("restored", "chunk").alias("t")))), lambda x: x["t"]))
     hits = hits.groupBy("source_table", "row_id").agg(F.any_value("value").alias("v"), whole.alias("joined"), F.max("way").alias("way")).where(F.col("way").isNotNull())
+    rest = F.pandas_udf(lambda v, way: pd.Series([unshift(x, y.removesuffix(" read as ascii")) for x, y in zip(v, way, strict=True)], dtype=object), "string")
+    hits = hits.withColumn("joined", F.when(F.col("way").endswith(" read as ascii"), F.coalesce(rest("v", "way"), "joined")).otherwise(F.col("joined")))
     both = sure.join(hits, ["source_table", "row_id"], "full")
     lost = F.coalesce("value", "v").contains("�")
     text = F.when(lost, None).otherwise(F.coalesce("marked", "joined"))

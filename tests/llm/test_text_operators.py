@@ -132,3 +132,15 @@ def test_scanned_pages(spark):
     text = {r[0]: r[3] for r in rows}
     assert sorted(text[k] for k, r in by.items() if r.split) == ["infor-"] * 9
     assert [(text[k], r.printed) for k, r in by.items() if r.misread] == [("tbe", "the")]
+
+
+def test_encodings_of_ascii_alone(spark):
+    """Texts whose wrong decoding has no character beyond ASCII; others with a plus, a tilde or an escape stay."""
+    clean = ["Jördis Grünefeld", "Größe M", "Notes “A” 14", "x = α + β", "楼兰報告書", "서울 확인", "USB+HDMI-Kabel", "C++ A+B", "tel +49123", "home ~{x}"]
+    values = [("t", i, v) for i, v in enumerate(clean * 30)]
+    bad = {900: ("J+APY-rdis Gr+APw-nefeld", 0), 901: ("Gr+APYA3w-e M", 1), 902: ("Notes +IBw-A+IB0 14", 2), 903: ("x = +A7E +- +A7I", 3)}
+    bad |= {904: (clean[4].encode("iso2022_jp_2").decode("ascii"), 4), 905: (clean[5].encode("iso2022_kr").decode("ascii"), 5), 906: ("楼兰".encode("hz").decode("ascii"), None)}
+    values += [("t", i, v) for i, (v, _) in bad.items()]
+    d = spark.createDataFrame(values, "source_table string, row_id long, value string")
+    got = {r.row_id: r.restored for r in mojibake.find_garbled(d).collect()}
+    assert got == {i: "楼兰" if k is None else clean[k] for i, (_, k) in bad.items()}
