@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import pandas as pd
 import regex
@@ -40,8 +41,12 @@ STANDING = frozenset("- – — / & « » ? ! : ; ... … $ § % %. %, € £ ©
 _ALNUM = r"[\p{L}\p{N}]"
 _CORE = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
 _RUN = regex.compile(r"[\p{L}\p{N}]+")
-_SINGLE = {a: b for a, b in (("e", "c"), ("0", "o"), ("a", "o"), ("t", "f"), ("l", "i"), ("1", "i"), ("I", "i"), ("5", "s"), ("S", "s"), ("9", "g"), ("h", "b"), ("2", "z"), ("Z", "z"), ("6", "c"), ("T", "i"), ("8", "B"), ("E", "F"), ("P", "F"), ("O", "o"), ("Q", "o"), ("D", "o"), ("é", "c"), ("G", "C"))}
-_GROUPS = (("ii", "u"), ("cl", "d"), ("ri", "n"), ("rn", "m"), ("in", "m"), ("u", "n"), ("vv", "w"))
+#: What each character is made of for fold(): both sides of every pair of CONFUSIONS are made of the same, in any context.
+_ATOMS = {x: a for xs, a in (("c e é 6", "c"), ("o a 0 O Q D", "o"), ("t f", "t"), ("i l 1 I T", "i"), ("s 5 S", "s"), ("g 9", "g"), ("z 2 Z", "z"), ("B 8", "B"), ("F E P", "F"), ("C G", "C"), ("n u b h", "ii"), ("m", "iii"), ("d", "ci"), ("w", "vv")) for x in xs.split()}
+#: Atoms that a digit may be made of, and digits.
+_DIGITS = regex.compile("[oiszgcB0-9]")
+#: edits() confirms no more confusions than these.
+MOST_EDITS = 7
 MIN_COUNT = 2
 
 
@@ -65,15 +70,20 @@ def as_number(token: str) -> str | None:
 
 @lru_cache(maxsize=200_000)
 def fold(token: str) -> str:
-    """Equal for words that recognition confuses."""
-    t = "".join(_ACCENTS.get(c, c) if c != "é" else "e" for c in token)
-    t = "".join(_SINGLE.get(c, c) for c in t)
-    for a, b in _GROUPS:
-        t = t.replace(a.translate(_FOLDED), b.translate(_FOLDED))
-    return t
+    """Equal for words that recognition confuses: what stands beside a confusion doesn't change what it is made of."""
+    t = "".join(_ATOMS.get(c, c) for c in (_ACCENTS.get(c, c) for c in token))
+    return regex.sub("r+(?=i)", lambda m: "i" * len(m[0]), t)
 
 
-_FOLDED = {ord(a): b for a, b in _SINGLE.items()}
+def fold_digits(token: str, read: bool) -> list[str]:
+    """fold with all that may be a digit alike, for words that have digits; of a token as read, each b may be a digit too."""
+    out = []
+    places = [i for i, c in enumerate(token) if c == "b"] if read else []
+    for n in range(min(len(places), MOST_EDITS) + 1):
+        for some in combinations(places, n):
+            t = _DIGITS.sub("#", fold("".join("#" if i in some else c for i, c in enumerate(token))))
+            out.append(regex.sub("r+(?=#)", lambda m: "#" * len(m[0]), t))
+    return list(dict.fromkeys(out))
 
 
 def keys_of(token: str) -> list[str]:
@@ -84,11 +94,16 @@ def keys_of(token: str) -> list[str]:
         out.append("n:" + number)
     if regex.search(r"\p{L}", token):
         out.append("w:" + fold(token))
-        if regex.search(r"\d", token):  # numbers of names and marks stay as they are
-            out.append("w:" + fold(normal(token)))
-            if number:
-                out.append("w:" + fold(number))
-    return list(dict.fromkeys(out))
+    if regex.search(r"\d", token):
+        out.extend("d:" + k for k in fold_digits(token, True))
+    return out
+
+
+def keys_of_type(kind: str) -> list[str]:
+    """Keys under which a normal form is found: words by fold, numbers as they are, words with digits with these alike."""
+    if not regex.search(r"\p{L}", kind):
+        return ["n:" + kind] if "#" in kind else []
+    return ["w:" + fold(kind)] + (["d:" + k for k in fold_digits(kind, False)] if "#" in kind else [])
 
 
 @lru_cache(maxsize=200_000)
@@ -101,7 +116,7 @@ def edits(read: str, printed: str) -> tuple[tuple[int, int], ...] | None:
     for i in range(n + 1):
         for j in range(m + 1):
             at = best.get((i, j))
-            if at is None or at[0] > 6:
+            if at is None or at[0] >= MOST_EDITS:
                 continue
             cost, where = at
             steps = []
@@ -237,7 +252,7 @@ def _keyed(counts: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(k, t, n) for t, n in zip(pdf["type"], pdf["n"], strict=True) for k in (["w:" + fold(t)] if regex.search(r"\p{L}", t) else []) + (["n:" + t] if "#" in t else [])]
+            rows = [(k, t, n) for t, n in zip(pdf["type"], pdf["n"], strict=True) for k in keys_of_type(t)]
             yield pd.DataFrame(rows, columns=["key", "type", "n"])
 
     rows = counts.where(F.col("n") >= MIN_COUNT).select("type", "n").mapInPandas(work, "key string, type string, n bigint")

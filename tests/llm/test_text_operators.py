@@ -106,6 +106,23 @@ def test_confusions():
     assert scans.edits("cat", "dog") is None and scans.edits("same", "same") == ()
 
 
+def test_confusions_in_any_context(spark):
+    """Every confusion, beside any characters, leaves a key under which the printed word is looked for."""
+    around = ["", "i", "l", "e", "r", "n", "c", "m", "ri", "o", "b", "v"]
+    for left in around:
+        for right in around:
+            for x, y in scans.CONFUSIONS:
+                read, printed = left + x + right, left + y + right
+                assert scans.fold(read) == scans.fold(printed), (read, printed)
+                assert set(scans.keys_of(f"k{read}-73")) & set(scans.keys_of_type(f"k{printed}-##")), (read, printed)
+            for x in scans.FOR_DIGITS:
+                assert set(scans.keys_of(f"k{left}{x}{right}-7")) & set(scans.keys_of_type(f"k{left}#{right}-#")), (left, x, right)
+    cases = {"clie": "die", "voliime": "volume", "lmks": "links", "outlme": "outline", "em": "ein", "expecliente": "expediente", "derriière": "dernière", "lie": "he", "5can_O558.pclf": "scan_####.pdf", "v0l-12": "vol-##"}
+    counts = spark.createDataFrame([(t, 30) for t in cases.values()], "type string, n long")
+    found = scans._candidates(spark.createDataFrame([(t,) for t in cases], "token string"), scans._keyed(counts)).collect()
+    assert {(r.token, r.printed) for r in found} >= set(cases.items())
+
+
 def test_scanned_pages(spark):
     rows, i = [], 0
 
