@@ -248,22 +248,14 @@ def decode(words: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _keyed(counts: DataFrame) -> DataFrame:
-    """key, best: the most frequent types under each key (eight of them, by count; rarer ones of a key lose to these anyway)."""
+    """key, type, n: all types seen MIN_COUNT times under each of their keys; types are distinct, so a key has few rows."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(k, t, n) for t, n in zip(pdf["type"], pdf["n"], strict=True) for k in keys_of_type(t)]
             yield pd.DataFrame(rows, columns=["key", "type", "n"])
 
-    rows = counts.where(F.col("n") >= MIN_COUNT).select("type", "n").mapInPandas(work, "key string, type string, n bigint")
-    return rows.groupBy("key").agg(F.max_by(F.struct("type", "n"), F.struct("n", "type"), 8).alias("best")) if _has_top() else rows.groupBy("key").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "type")), False), 1, 8).alias("best"))
-
-
-def _has_top() -> bool:
-    """Whether this Spark has max_by with a number of values."""
-    import inspect
-
-    return len(inspect.signature(F.max_by).parameters) > 2
+    return counts.where(F.col("n") >= MIN_COUNT).select("type", "n").mapInPandas(work, "key string, type string, n bigint")
 
 
 def _candidates(tokens: DataFrame, keyed: DataFrame) -> DataFrame:
@@ -282,8 +274,8 @@ def _candidates(tokens: DataFrame, keyed: DataFrame) -> DataFrame:
                     rows.append((t, c, n, [{"lo": a, "hi": b} for a, b in e]))
             yield pd.DataFrame(rows, columns=["token", "printed", "n", "edits"])
 
-    asked = tokens.mapInPandas(key_rows, "token string, key string").join(keyed, "key").select("token", F.explode("best").alias("x"))
-    asked = asked.select("token", F.col("x.type").alias("printed"), F.col("x.n").alias("n")).distinct()
+    asked = tokens.mapInPandas(key_rows, "token string, key string").join(keyed, "key")
+    asked = asked.select("token", F.col("type").alias("printed"), "n").where(F.col("printed") != _normal(F.col("token"))).distinct()
     return asked.mapInPandas(confirm, "token string, printed string, n bigint, edits array<struct<lo int, hi int>>")
 
 

@@ -123,6 +123,14 @@ def test_confusions_in_any_context(spark):
     assert {(r.token, r.printed) for r in found} >= set(cases.items())
 
 
+def test_all_words_of_a_key_are_candidates(spark):
+    """However many types share a key, and however rare they are beside each other."""
+    many = [(f"{x}{y}{z}k", 50) for x in ("rn", "m", "in") for y in ("d", "cl", "ci") for z in ("e", "c")] + [("mdck", 2)]
+    counts = spark.createDataFrame([(t, n) for t, n in dict(many).items()], "type string, n long")
+    found = scans._candidates(spark.createDataFrame([("rnclek",)], "token string"), scans._keyed(counts)).collect()
+    assert {r.printed for r in found} == {t for t, _ in many if scans.edits("rnclek", t)} and ("mdck", 2) in {(r.printed, r.n) for r in found}
+
+
 def test_scanned_pages(spark):
     rows, i = [], 0
 
