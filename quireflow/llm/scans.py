@@ -336,22 +336,23 @@ def _cuts(lines: list[dict]) -> list[int]:
     margin = min(x["left"] for x in lines)
     height = max(1, sorted(x["height"] for x in lines)[len(lines) // 2])
     n = len(lines)
+    right = max(x["right"] for x in lines)
     best = [0.0] + [float("inf")] * n
     back = [0] * (n + 1)
     loose = []
     for k in range(n):
         gap = (lines[k]["top"] - lines[k - 1]["top"]) / usual if k else 2.0
         indent = (lines[k]["left"] - margin) / height
-        short = k > 0 and lines[k - 1]["right"] < max(x["right"] for x in lines) - 6 * height
+        short = k > 0 and lines[k - 1]["right"] < right - 6 * height
         loose.append(2.5 * max(0.0, gap - 1.15) + 0.6 * min(indent, 2.0) + (0.3 if short else 0.0))
     total = [0.0]
     for x in loose:
         total.append(total[-1] + x)
+    least, at = float("inf"), 0  # over all begins so far, of what doesn't depend on the end
     for end in range(1, n + 1):
-        for begin in range(end - 1, max(-1, end - 200), -1):
-            cost = best[begin] + 0.9 + total[end] - total[begin + 1]
-            if cost < best[end]:
-                best[end], back[end] = cost, begin
+        if (cost := best[end - 1] - total[end]) <= least + 1e-9:  # of equal ones the last
+            least, at = cost, end - 1
+        best[end], back[end] = least + 0.9 + total[end], at
     out, at = [], n
     while at:
         out.append(back[at])

@@ -131,6 +131,13 @@ def test_all_words_of_a_key_are_candidates(spark):
     assert {r.printed for r in found} == {t for t, _ in many if scans.edits("rnclek", t)} and ("mdck", 2) in {(r.printed, r.n) for r in found}
 
 
+def test_paragraphs_of_any_length():
+    lines = lambda tops: [{"left": 100, "top": t, "height": 30, "right": 900} for t in tops]
+    assert scans._cuts([]) == [] and scans._cuts(lines([0])) == [0]
+    assert scans._cuts(lines(range(0, 50 * 700, 50))) == [0]
+    assert scans._cuts(lines([50 * k + (200 if k >= 450 else 0) for k in range(700)])) == [0, 450]
+
+
 def test_scanned_pages(spark):
     rows, i = [], 0
 
