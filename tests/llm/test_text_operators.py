@@ -1,4 +1,5 @@
 import base64
+import math
 import random
 
 import pytest
@@ -145,7 +146,7 @@ def test_scanned_pages(spark):
         nonlocal i
         for w in text.split():
             i += 1
-            rows.append((i, doc, page, w, left, top, 50, 30, {"block": block, "par": par, "line": n}))
+            rows.append((i, doc, page, w, left, top, 50, 30, 95.0, {"block": block, "par": par, "line": n}))
 
     for doc in ("a", "b", "c"):
         for p in (1, 2, 3):
@@ -156,7 +157,7 @@ def test_scanned_pages(spark):
             line(doc, p, 2, 1, 1, 200, 310, "The clerk read the form and the infor-")
             line(doc, p, 2, 1, 2, 250, 250, "mation on the page. The clerk read the information" + (" in tbe form" if (doc, p) == ("a", 2) else " in the form"))
             line(doc, p, 3, 1, 1, 900, 700, f"Page {p}")
-    d = spark.createDataFrame(rows, "word_id long, doc string, page int, text string, left_px int, top_px int, width_px int, height_px int, line struct<block:int,par:int,line:int>")
+    d = spark.createDataFrame(rows, "word_id long, doc string, page int, text string, left_px int, top_px int, width_px int, height_px int, confidence double, line struct<block:int,par:int,line:int>")
     laid, decided = scans.decode(d)
     running = {(r.doc, r.page, r.text) for r in laid.where("running").collect()}
     assert running == {(x, p, w) for x in "abc" for p in (1, 2, 3) for w in (["Page", str(p)] + (["Missing", "pages"] if p > 1 else []))}
@@ -176,3 +177,63 @@ def test_encodings_of_ascii_alone(spark):
     d = spark.createDataFrame(values, "source_table string, row_id long, value string")
     got = {r.row_id: r.restored for r in mojibake.find_garbled(d).collect()}
     assert got == {i: "楼兰" if k is None else clean[k] for i, (_, k) in bad.items()}
+
+
+def test_words_stuck_together_and_torn_apart(spark):
+    """Within a line: two words read as one, one word read as two; across lines, with and without a hyphen."""
+    rows = []
+
+    def page(doc, n, lines):
+        for k, text in enumerate(lines, 1):
+            for w in text.split():
+                rows.append((len(rows) + 1, doc, n, w, 250, 200 + 50 * k, 50, 30, 95.0, {"block": 1, "par": 1, "line": k}))
+
+    for i in range(20):
+        page(f"d{i}", 1, ["one copy of the form shows", "the information of the owner", "in the pre- and post-transfer", "state of the archive"])
+    page("x", 1, ["one copy ofthe form shows", "the infor mation of the owner", "one copy of the fo", "rm shows the infor-", "mation of tbe owner", "in the pre-", "and post-transfer state"])
+    d = spark.createDataFrame(rows, "word_id long, doc string, page int, text string, left_px int, top_px int, width_px int, height_px int, confidence double, line struct<block:int,par:int,line:int>")
+    _, decided = scans.decode(d)
+    text = {r[0]: r[3] for r in rows}
+    got = sorted((text[r.word_id], r.misread, r.split, r.taken, r.printed) for r in decided.collect())
+    assert got == sorted([
+        ("ofthe", True, False, False, "of the"), ("infor", True, False, False, "information"), ("mation", True, False, True, None), ("fo", False, True, False, "form"), ("rm", False, False, True, None),
+        ("infor-", False, True, False, "information"), ("mation", False, False, True, None), ("tbe", True, False, False, "the"),
+    ])
+
+
+def test_best_way_is_the_likeliest():
+    """The programme agrees with trying every way through small lattices."""
+    r = random.Random(4)
+    for _ in range(200):
+        n = r.randint(1, 4)
+        words = list("abcd")
+        count = {(x, y): r.randint(0, 9) for x in words for y in [*words, ""]}
+        arcs = [(i, i + 1, (r.choice(words),), 0.0, "read", i) for i in range(n)]
+        arcs += [(i, min(n, i + r.randint(1, 2)), tuple(r.choices(words, k=r.randint(1, 2))), -r.random() * 5, None, n + i) for i in range(n) for _ in range(2)]
+
+        def score(way):
+            seq = [("a", True)] + [(w, a[4] == "read") for a in way for w in a[2]] + [("b", None)]
+            side = lambda w, pair, one, two: math.log((max(count.get(pair, 0) - two, 0) + scans.ALONE * max(count.get((w, ""), 0) - one, 0) + scans.ALONE) / scans.PER_WORD)
+            total = sum(a[3] for a in way)
+            for k in range(1, len(seq) - 1):
+                (p, pr), (w, wr), (z, zr) = seq[k - 1 : k + 2]
+                total += side(w, (p, w), wr, wr and pr) + side(w, (w, z), wr, wr if zr is None else wr and zr)
+            return total
+
+        def ways(at):
+            if at == n:
+                yield []
+            for a in arcs:
+                if a[0] == at:
+                    for rest in ways(a[1]):
+                        yield [a, *rest]
+
+        best = max(score(w) for w in ways(0))
+        assert abs(score(scans.best_way(arcs, n, "a", "b", count)) - best) < 1e-9
+
+
+def test_marks_by_confidence(spark):
+    rows = [(i, "d", 1, "word", 0, 0, 1, 1, 95.0 if i % 20 else 50.0, None) for i in range(400)] + [(1000 + i, "d", 1, "&", 0, 0, 1, 1, 95.0 if i else 40.0, None) for i in range(30)]
+    rows += [(2000 + i, "d", 1, "•'", 0, 0, 1, 1, 30.0, None) for i in range(9)] + [(3000, "d", 1, "•'", 0, 0, 1, 1, None, None)]
+    d = spark.createDataFrame(rows, "word_id long, doc string, page int, text string, left_px int, top_px int, width_px int, height_px int, confidence double, line struct<block:int,par:int,line:int>")
+    assert {r.word_id for r in scans.marks(scans.lay_out(d)).collect()} == {*range(2000, 2009), 3000}
