@@ -63,7 +63,26 @@ def url_kind(url: Column) -> Column:
 
 def url_severity(kind: Column) -> Column:
     """0 info, 1 warning, 2 high, 3 critical."""
-    return F.when(kind == "script", 2).when(kind.isin("local_file", "ip_address", "punycode"), 1).when(kind == "insecure", 1).otherwise(0)
+    return F.when(kind == "script", 3).when(kind == "local_file", 2).when(kind.isin("ip_address", "punycode"), 1).otherwise(0)
+
+
+#: What a report says of each kind of link, and the code of its finding.
+URL_LABELS = {
+    "https": "https link", "insecure": "unencrypted http link", "mail": "email link", "script": "javascript: link — script embedded in a link target",
+    "local_file": "file: link — points at the reader's own filesystem", "ip_address": "link to a bare IP address rather than a hostname",
+    "punycode": "link with a punycode hostname, which can imitate another name", "other": "link with an uncommon scheme",
+}
+URL_CODES = {"script": "S_URL_SCRIPT", "local_file": "S_URL_LOCAL_FILE", "ip_address": "S_URL_IP_ADDRESS", "punycode": "S_URL_PUNYCODE", "insecure": "S_URL_INSECURE", "mail": "S_URL_MAIL"}
+#: Exit code and advice of each error code.
+EXIT_CODES = {
+    "E_CANCELLED": 130, "E_IO": 2, "E_PARSE_HEADER": 3, "E_PARSE_XREF": 3, "E_PARSE_TRAILER": 3, "E_PARSE_STREAM": 3, "E_PARSE_OBJECT": 3, "E_PARSE": 3, "E_PASSWORD_REQUIRED": 4,
+    "E_PASSWORD_WRONG": 4, "E_PERMISSION": 5, "E_PAGE_RANGE": 6, "E_PAGE_SPEC": 6, "E_UNSUPPORTED": 7, "E_CONFIG": 8, "E_LIMIT": 9, "E_BACKEND": 10, "E_OUTPUT_EXISTS": 11,
+}
+
+
+def mapped(table: dict, key: Column) -> Column:
+    """What a fixed table holds for a key, null for others."""
+    return F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
 
 
 def is_dangerous_name(name: Column) -> Column:
@@ -94,6 +113,28 @@ def xml_escaped(s: Column) -> Column:
     return s
 
 
+def xml_unescaped(s: Column) -> Column:
+    """The inverse of xml_escaped; the ampersand comes last, so that nothing is unescaped twice."""
+    for a, b in (("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;"), ("&", "&amp;")):
+        s = F.replace(s, F.lit(b), F.lit(a))
+    return s
+
+
+def between(s: Column, begin: str, end: str) -> Column:
+    """What stands between the first `begin` and the next `end`; null if either is missing."""
+    rest = F.when(F.instr(s, begin) > 0, F.substring(s, F.instr(s, begin) + len(begin), F.length(s)))
+    return F.when(F.instr(rest, end) > 0, F.substring(rest, F.lit(1), F.instr(rest, end) - 1))
+
+
+def hex_serial(s: Column) -> Column:
+    """Bytes in hexadecimal, lower case, with colons."""
+    return F.regexp_replace(F.lower(s), "(..)(?!$)", "$1:")
+
+
+def plural(n: Column) -> Column:
+    return F.when(n == 1, "").otherwise("s")
+
+
 def fdf_escaped(s: Column) -> Column:
     for a in ("\\", "(", ")"):
         s = F.replace(s, F.lit(a), F.lit("\\" + a))

@@ -12,53 +12,22 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from ..operators import instants, nested
 from ..sources.tables import table
-
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _results(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "results").drop("loaded_at").distinct()
-
-
-_R = "(select distinct run, ord, path, ok, error_code, exit_code, bytes_in, bytes_out, flagged, finished_at from results)"
-_FF = "(select distinct field_id, doc, ord, name, kind, value, options, required, read_only, pages from form_fields)"
-_SG = "(select distinct sig_id, doc, field, page, declared_name, spans, contents_len, total, verdict, certification, timestamped from signatures)"
-_BM = "(select distinct bookmark_id, doc, node, parent, ord, title, page, is_open from bookmarks)"
-_CE = "(select distinct * from certificates)"
-_WO = "(select distinct word_id, doc, page, text, left_px, top_px, width_px, height_px, confidence, line from words)"
-_CH = "(select distinct char_id, doc, page, idx, ch, rect, size, font from chars)"
-
-
-def _fields(spark, d):
-    return table(spark, d, "form_fields").select("field_id", "doc", "ord", "name", "kind", "value", "options", "required", "read_only", "pages").dropDuplicates(["field_id"])
-
-
-def _signatures(spark, d):
-    return table(spark, d, "signatures").dropDuplicates(["sig_id"])
-
-
-def _bookmarks(spark, d):
-    return table(spark, d, "bookmarks").dropDuplicates(["bookmark_id"])
-
-
-def _words(spark, d):
-    return table(spark, d, "words").dropDuplicates(["word_id"])
-
-
-def _chars(spark, d):
-    return table(spark, d, "chars").dropDuplicates(["char_id"])
-
+from . import findings as _findings  # noqa: F401
+from . import layout as _layout  # noqa: F401
+from .registry import BM as _BM
+from .registry import CE as _CE
+from .registry import CH as _CH
+from .registry import FF as _FF
+from .registry import QUERIES, SQL, query
+from .registry import R as _R
+from .registry import SG as _SG
+from .registry import WO as _WO
+from .registry import bookmarks as _bookmarks
+from .registry import chars as _chars
+from .registry import fields as _fields
+from .registry import results as _results
+from .registry import signatures as _signatures
+from .registry import words as _words
 
 @query(f"""
 select run, count(*) as files, count(*) filter (where ok) as succeeded, count(*) filter (where not ok) as failed,
@@ -96,15 +65,6 @@ def error_histogram(spark, d):
     return _results(spark, d).groupBy("run", F.coalesce("error_code", F.lit("none")).alias("error_code")).agg(F.count(F.lit(1)).alias("files"), F.min("ord").alias("first_ord"))
 
 
-@query(f"""
-select path, count(*) as runs, (arg_max(ok, (run, ord)))::boolean as last_ok, max(case when not ok then 2 when flagged then 1 else 0 end)::int as worst,
-  bool_or(not ok) as gate, max(case when not ok then 2 when flagged then 1 else 0 end) = 0 as clean from {_R} group by path""")
-def path_gate(spark, d):
-    """Worst severity of a file over all runs, whether it fails the gate (high or worse), and whether it is clean."""
-    sev = F.when(~F.col("ok"), 2).when(F.col("flagged"), 1).otherwise(0)
-    return _results(spark, d).groupBy("path").agg(F.count(F.lit(1)).alias("runs"), F.max_by("ok", F.struct("run", "ord")).alias("last_ok"), F.max(sev).alias("worst"), F.bool_or(~F.col("ok")).alias("gate"), (F.max(sev) == 0).alias("clean"))
-
-
 @query(f"""
 select path, ord, run, greatest(0.0, 1 - bytes_out::double / bytes_in) as reduction, (bytes_in - bytes_out >= 16384 and bytes_out <= bytes_in * 0.9) as kept
 from {_R} where ok and bytes_in > 0 and bytes_out is not null""")
@@ -153,21 +113,6 @@ def page_specs(spark, d):
     return x.select("doc", "spec", error.alias("error"), join(pages).alias("pages"), join(F.array_sort(F.array_distinct(pages))).alias("unique_pages"))
 
 
-_URLS = ["javascript:alert(1)", "file:///etc/x", "\\\\host\\share", "mailto:a@b.example", "http://10.0.0.1/a", "https://[2001:db8::1]/x", "https://user@192.0.2.7:8080/q", "https://xn--bcher-kva.example/", "ftp://files.example/a", "example.org", "https://example.org/docs", "http://example.org"]
-
-
-@query("""
-with u(url) as (select unnest([%s])), l as (select url, lower(trim(url)) as low from u),
-h as (select *, regexp_replace(regexp_extract(regexp_replace(low, '^[a-z][a-z0-9+.-]*://', ''), '^[^/?#]*'), '^.*@', '') as auth from l),
-k as (select *, case when auth like '[%%' then regexp_extract(auth, '^\\[([^\\]]*)', 1) else regexp_extract(auth, '^[^:]*') end as host from h)
-select url, host, case when low like 'javascript:%%' then 'script' when low like 'file:%%' or starts_with(low, '\\\\') then 'local_file' when low like 'mailto:%%' then 'mail' when contains('.'||host, '.xn--') then 'punycode'
- when regexp_full_match(host, '((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\\.){3}(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])') or (contains(host, ':') and regexp_full_match(host, '[0-9a-f:.]+')) then 'ip_address'
- when low like 'https://%%' then 'https' when low like 'http://%%' then 'insecure' else 'other' end as kind from k""" % ", ".join("'" + u + "'" for u in _URLS))
-def url_kinds(spark, d):
-    u = spark.createDataFrame([(x,) for x in _URLS], "url string")
-    return u.select("url", T.host_of(F.lower(F.trim("url"))).alias("host"), T.url_kind(F.col("url")).alias("kind"))
-
-
 _TERMS = ["the", "copy", "page", "zzz", "registry office"]
 
 
@@ -232,21 +177,6 @@ def split_at_bookmarks(spark, d):
     return starts.join(last, "doc").select("doc", "title", "start_page", F.coalesce(F.lead("start_page").over(w) - 1, F.col("last_page")).alias("end_page"))
 
 
-@query(f"""
-select s.sig_id, s.doc, s.field from {_SG} s left join {_FF} f on f.doc = s.doc and f.name = s.field where f.field_id is null
-""")
-def dangling_signature_fields(spark, d):
-    f = _fields(spark, d).select("doc", F.col("name").alias("field"))
-    return _signatures(spark, d).select("sig_id", "doc", "field").join(f, ["doc", "field"], "left_anti")
-
-
-@query(f"""
-select b.bookmark_id, b.doc, b.parent from {_BM} b where b.parent is not null and not exists (select 1 from {_BM} p where p.doc = b.doc and p.node = b.parent)""")
-def dangling_parents(spark, d):
-    b = _bookmarks(spark, d)
-    return b.where(F.col("parent").isNotNull()).select("bookmark_id", "doc", "parent").join(b.select("doc", F.col("node").alias("parent")), ["doc", "parent"], "left_anti")
-
-
 @query(f"""
 select doc, count(*) as fields, count(*) filter (where kind in ('text','checkbox','radio','choice')) as fillable,
  count(*) filter (where kind in ('text','checkbox','radio','choice') and not read_only) as writable, count(*) filter (where required and coalesce(value, '') = '') as missing,
@@ -322,22 +252,6 @@ def glyph_sizes(spark, d):
     return c.groupBy("doc", "page").agg(F.max_by("bucket", F.struct(F.col("n"), -F.col("bucket"))).cast("double").alias("body_size"), F.sum("n").alias("glyphs"), F.count(F.lit(1)).alias("sizes"))
 
 
-@query(f"""
-with c as (select doc, page, idx, ch, rect, size, font, lag(rect.bottom) over w as pb, lag(rect.right) over w as pr, lag(ch) over w as pc, lag(font) over w as pf from {_CH} window w as (partition by doc, page order by idx)),
-n as (select *, case when pb is null or pb <> rect.bottom then 1 else 0 end as new_line from c),
-l as (select *, sum(new_line) over (partition by doc, page order by idx rows unbounded preceding) as line from n)
-select doc, page, line::int as line, count(*) as glyphs, count(*) filter (where new_line = 0 and rect.left - pr > 0.25 * size and trim(ch, ' ') <> '' and trim(pc, ' ') <> '') as gaps, (1 + count(*) filter (where new_line = 0 and font is distinct from pf))::bigint as runs from l group by doc, page, line""")
-def glyph_lines(spark, d):
-    """Lines of glyphs with the gaps that stand for blanks and the runs of one font."""
-    w = Window.partitionBy("doc", "page").orderBy("idx")
-    c = _chars(spark, d).select("doc", "page", "idx", "ch", "rect", "size", "font", F.lag("rect.bottom").over(w).alias("pb"), F.lag("rect.right").over(w).alias("pr"), F.lag("ch").over(w).alias("pc"), F.lag("font").over(w).alias("pf"))
-    c = c.withColumn("new_line", F.when(F.col("pb").isNull() | (F.col("pb") != F.col("rect.bottom")), 1).otherwise(0))
-    c = c.withColumn("line", F.sum("new_line").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    same = F.col("new_line") == 0
-    gap = same & (F.col("rect.left") - F.col("pr") > 0.25 * F.col("size")) & (F.trim("ch") != "") & (F.trim("pc") != "")
-    return c.groupBy("doc", "page", "line").agg(F.count(F.lit(1)).alias("glyphs"), F.count_if(F.coalesce(gap, F.lit(False))).alias("gaps"), (1 + F.count_if(same & ~F.col("font").eqNullSafe(F.col("pf")))).alias("runs"))
-
-
 @query(f"""
 with r as (select doc, page, min(rect.left) + 20 as x0, max(rect.right) - 60 as x1, max(rect.top) - 100 as y0, max(rect.top) as y1 from {_CH} group by doc, page)
 select c.doc, c.page, count(*) as hit, min(c.idx)::int as first_idx, max(c.idx)::int as last_idx from {_CH} c join r on r.doc = c.doc and r.page = c.page
@@ -469,18 +383,6 @@ def stale_requests(spark, d):
     return e.withColumn("newest", F.max("gen").over(w)).where(F.col("gen") >= F.col("newest")).drop("newest")
 
 
-@query("""
-select r.r_name, count(distinct n.n_nationkey) as nations, count(distinct s.s_suppkey) as suppliers, count(distinct c.c_custkey) as customers
-from region r left join nation n on n.n_regionkey = r.r_regionkey left join supplier s on s.s_nationkey = n.n_nationkey left join customer c on c.c_nationkey = n.n_nationkey where r.r_name in ('ASIA', 'EUROPE') group by r.r_name""")
-def reachable(spark, d):
-    """What can be reached from chosen roots: each level is counted before it is joined, so nothing multiplies."""
-    s = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("s"))
-    c = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("c"))
-    n = table(spark, d, "nation").join(s, "n_nationkey", "left").join(c, "n_nationkey", "left")
-    r = table(spark, d, "region").where(F.col("r_name").isin("ASIA", "EUROPE"))
-    return r.join(n, F.col("r_regionkey") == F.col("n_regionkey"), "left").groupBy("r_name").agg(F.count("n_nationkey").alias("nations"), F.coalesce(F.sum("s"), F.lit(0)).alias("suppliers"), F.coalesce(F.sum("c"), F.lit(0)).alias("customers"))
-
-
 @query("""
 with c as (select unnest(['#ff8000', '#000000', 'ff8000', '#12', '#0A141E']) as text), v as (select text, regexp_full_match(text, '#[0-9A-Fa-f]{6}') as ok from c)
 select text, case when ok then round(('0x'||text[2:3])::int / 255.0, 6)::double end as r, case when ok then round(('0x'||text[4:5])::int / 255.0, 6)::double end as g, case when ok then round(('0x'||text[6:7])::int / 255.0, 6)::double end as b from v""")
