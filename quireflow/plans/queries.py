@@ -14,6 +14,7 @@ from ..operators import instants, nested
 from ..sources.tables import table
 from . import findings as _findings  # noqa: F401
 from . import layout as _layout  # noqa: F401
+from . import pages as _pages  # noqa: F401
 from .registry import BM as _BM
 from .registry import CE as _CE
 from .registry import CH as _CH
@@ -144,39 +145,6 @@ def redact_names(spark, d):
     return docs.select("doc_id", F.size(m).alias("hits"), F.aggregate(F.transform(m, F.length), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("removed_chars"), F.length(F.regexp_replace("text", p, "█")).cast("bigint").alias("left_chars"))
 
 
-@query(f"""
-with recursive b as (select doc, node, parent, ord, title, page from {_BM}),
-t as (select doc, node, 0 as depth, [ord] as path from b where parent is null union all select b.doc, b.node, t.depth + 1, list_append(t.path, b.ord) from t join b on b.doc = t.doc and b.parent = t.node where t.depth < 32)
-select doc, node, depth::int as depth, array_to_string(path, '.') as label from t""")
-def bookmark_paths(spark, d):
-    """Depth and Dewey label of each bookmark by steps from the top, one join a level, at most 32 levels; bookmarks that the top doesn't reach have no row."""
-    b = _bookmarks(spark, d).select("doc", "node", "parent", "ord").repartition("doc", "node")
-    level = b.where(F.col("parent").isNull()).select("doc", "node", F.lit(0).alias("depth"), F.col("ord").cast("string").alias("label"))
-    out = level
-    from ..sources.tables import cut_lineage
-
-    for depth in range(1, 33):
-        up = level.select("doc", F.col("node").alias("parent"), F.col("label").alias("above"))
-        level = cut_lineage(b.join(up, ["doc", "parent"]).select("doc", "node", F.lit(depth).alias("depth"), F.concat_ws(".", "above", F.col("ord").cast("string")).alias("label")))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
-
-
-@query(f"""
-select doc, title, start_page::int as start_page, coalesce(lead(start_page) over (partition by doc order by start_page) - 1, last_page)::int as end_page from (
- select b.doc, min(title) as title, page as start_page, max(last_page) as last_page from {_BM} b join (select doc, max(page) as last_page from {_BM} group by doc) l on l.doc = b.doc
- where parent is null and page is not null group by b.doc, page)""")
-def split_at_bookmarks(spark, d):
-    """Page ranges between the top bookmarks of each document."""
-    b = _bookmarks(spark, d)
-    last = b.groupBy("doc").agg(F.max("page").alias("last_page"))
-    starts = b.where(F.col("parent").isNull() & F.col("page").isNotNull()).groupBy("doc", F.col("page").alias("start_page")).agg(F.min("title").alias("title"))
-    w = Window.partitionBy("doc").orderBy("start_page")
-    return starts.join(last, "doc").select("doc", "title", "start_page", F.coalesce(F.lead("start_page").over(w) - 1, F.col("last_page")).alias("end_page"))
-
-
 @query(f"""
 select doc, count(*) as fields, count(*) filter (where kind in ('text','checkbox','radio','choice')) as fillable,
  count(*) filter (where kind in ('text','checkbox','radio','choice') and not read_only) as writable, count(*) filter (where required and coalesce(value, '') = '') as missing,
