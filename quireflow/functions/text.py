@@ -28,9 +28,14 @@ def truncated(s: Column, most: int) -> Column:
     return F.when(F.length(s) <= most, s).otherwise(F.concat(F.substring(s, 1, most), F.lit("…")))
 
 
+def literal(term: str) -> str:
+    """Pattern of a term whose signs mean nothing but themselves."""
+    return "".join(c if c.isalnum() or c == " " else "\\" + c for c in term)
+
+
 def whole_word(term: str) -> str:
     """Pattern of a literal term with no letter, digit or underscore on either side, in any case."""
-    return r"(?iu)(?<![\p{L}\p{N}_])" + "".join(c if c.isalnum() or c == " " else "\\" + c for c in term) + r"(?![\p{L}\p{N}_])"
+    return r"(?iu)(?<![\p{L}\p{N}_])" + literal(term) + r"(?![\p{L}\p{N}_])"
 
 
 def host_of(url: Column) -> Column:

@@ -13,6 +13,7 @@ from ..functions import text as T
 from ..operators import instants, nested
 from ..sources.tables import table
 from . import findings as _findings  # noqa: F401
+from . import interchange as _interchange  # noqa: F401
 from . import layout as _layout  # noqa: F401
 from . import pages as _pages  # noqa: F401
 from .registry import BM as _BM
@@ -106,9 +107,7 @@ select e.doc, e.spec, case when wrong then 'E_PAGE_SPEC' when beyond then 'E_PAG
 from e left join x using (doc, spec)""")
 def page_specs(spark, d):
     docs = _words(spark, d).groupBy("doc").agg(F.max("page").alias("n"))
-    specs = spark.createDataFrame([(s,) for s in _SPECS], "spec string")
     x = docs.withColumn("spec", F.explode(F.array(*[F.lit(s) for s in _SPECS])))
-    del specs
     pages, error = page_spec(F.col("spec"), F.col("n"))
     join = lambda a: F.array_join(a.cast("array<string>"), " ")
     return x.select("doc", "spec", error.alias("error"), join(pages).alias("pages"), join(F.array_sort(F.array_distinct(pages))).alias("unique_pages"))
@@ -128,7 +127,7 @@ def text_search(spark, d):
     docs = table(spark, d, "documents").where(F.col("text").isNotNull()).select("text")
     aggs = []
     for i, t in enumerate(_TERMS):
-        n = F.regexp_count("text", F.lit(r"(?iu)" + t))
+        n = F.regexp_count("text", F.lit(r"(?iu)" + T.literal(t)))
         aggs += [F.struct(F.lit(t).alias("term"), F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias("loose"), F.coalesce(F.sum(F.regexp_count("text", F.lit(T.whole_word(t)))), F.lit(0)).cast("bigint").alias("whole"), F.count_if(n > 0).alias("docs")).alias(f"t{i}")]
     one = docs.agg(*aggs).select(F.explode(F.array(*[f"t{i}" for i in range(len(_TERMS))])).alias("x")).select("x.*")
     return one.withColumn("missing", F.col("loose") == 0)
@@ -211,13 +210,12 @@ def page_text_flags(spark, d):
 
 
 @query(f"""
-with c as (select doc, page, char_id, idx, ch, rect, round(size * 2) / 2 as bucket, font, row_number() over (partition by doc, page, rect.bottom order by idx) as k from {_CH}),
-g as (select doc, page, bucket, sum(1)::bigint as n from c where trim(ch, ' ') <> '' group by 1, 2, 3)
-select doc, page, arg_max(bucket, (n, -bucket))::double as body_size, sum(n)::bigint as glyphs, count(*) as sizes from g group by doc, page""")
+with c as (select doc, page, idx, round(size * 2) / 2 as bucket from {_CH} where trim(ch, ' ') <> ''), g as (select doc, page, bucket, count(*) as n, min(idx) as seen from c group by 1, 2, 3)
+select doc, page, arg_max(bucket, (n, seen))::double as body_size, sum(n)::bigint as glyphs, count(*) as sizes from g group by doc, page""")
 def glyph_sizes(spark, d):
-    """The most frequent size of a page's glyphs in half points, the smaller of two as frequent."""
-    c = _chars(spark, d).where(F.trim("ch") != "").groupBy("doc", "page", (F.round(F.col("size") * 2) / 2).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    return c.groupBy("doc", "page").agg(F.max_by("bucket", F.struct(F.col("n"), -F.col("bucket"))).cast("double").alias("body_size"), F.sum("n").alias("glyphs"), F.count(F.lit(1)).alias("sizes"))
+    """The most frequent size of a page's glyphs in half points; of several, the one first seen last."""
+    c = _chars(spark, d).where(F.trim("ch") != "").groupBy("doc", "page", (F.round(F.col("size") * 2) / 2).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("seen"))
+    return c.groupBy("doc", "page").agg(F.max_by("bucket", F.struct("n", "seen")).cast("double").alias("body_size"), F.sum("n").alias("glyphs"), F.count(F.lit(1)).alias("sizes"))
 
 
 @query(f"""
@@ -269,8 +267,9 @@ def progress_eta(spark, d):
     """Share done and time left at each file of a run, null while nothing or all is done."""
     w = Window.partitionBy("run")
     r = _results(spark, d).withColumn("total", F.count(F.lit(1)).over(w)).withColumn("done", F.row_number().over(w.orderBy("ord")))
-    t = F.unix_micros(F.col("finished_at").cast("timestamp"))
-    r = r.withColumn("t", t).withColumn("t0", F.min("t").over(w))
+    # a difference of local times, without the session's zone
+    since = (F.col("finished_at").cast("timestamp_ntz") - F.min(F.col("finished_at").cast("timestamp_ntz")).over(w)).cast("interval second").cast("decimal(20,6)") * 1_000_000
+    r = r.withColumn("t", since.cast("bigint")).withColumn("t0", F.lit(0))
     return r.select("run", "ord", "done", F.round(F.col("done") / F.col("total").cast("double"), 9).alias("fraction"), F.when((F.col("done") > 1) & (F.col("done") < F.col("total")), F.round((F.col("t") - F.col("t0")).cast("double") / F.col("done") * (F.col("total") - F.col("done")), 3)).alias("eta_us"))
 
 
