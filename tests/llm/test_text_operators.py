@@ -61,21 +61,50 @@ def test_ids_agree_with_the_library(spark):
 
 
 def test_pfair_stays_within_a_block():
-    slots = mixing.whole_slots({"a": 0.23, "b": 0.5, "c": 0.06, "d": 0.19}, 100)
-    assert sum(slots.values()) == 100
+    slots = mixing.whole_slots({"a": 0.23, "b": 0.5, "c": 0.06, "d": 0.19})
+    assert slots == {"a": 23, "b": 50, "c": 6, "d": 19}
+    period = sum(slots.values())
     done = dict.fromkeys(slots, 0)
-    for s, k, at in sorted(mixing.pfair_period(slots, 100), key=lambda x: x[2]):
-        assert done[s] == k and at >= k * 100 // slots[s]
+    for s, k, at in sorted(mixing.pfair_period(slots, period), key=lambda x: x[2]):
+        assert done[s] == k and at >= k * period // slots[s]
         done[s] += 1
-        assert all(abs(done[x] - (at + 1) * slots[x] / 100) < 1 for x in slots)
+        assert all(abs(done[x] - (at + 1) * slots[x] / period) < 1 for x in slots)
+
+
+def test_slots_of_any_shares():
+    assert mixing.whole_slots({"a": 0.0003, "b": 0.9997}) == {"a": 3, "b": 9997}
+    many = mixing.whole_slots({f"s{i:05}": 1 / 3 + i / 7e5 for i in range(3000)})
+    assert len(many) == 3000 and min(many.values()) >= 1 and sum(many.values()) <= mixing.LONGEST_PERIOD + 3000
 
 
 def test_mixture(spark):
-    texts = spark.createDataFrame([(i, ("a", "b", "c", None)[i % 4 if i % 8 else 0], 10 + i % 7) for i in range(4000)], "doc_id long, source string, n_tokens long")
+    """The mixture itself stays within one block of every share at the end of every slot, long texts and repeats included."""
+    texts = spark.createDataFrame([(i, ("a", "b", "c", None)[i % 4 if i % 8 else 0], 5000 if i % 97 == 0 else 10 + i % 7) for i in range(4000)], "doc_id long, source string, n_tokens long")
     targets = spark.createDataFrame([("a", 0.2, 1), ("b", 0.6, 2), ("none", 0.2, 1)], "source string, target_share double, max_repeats int")
-    m = mixing.mix_sources(texts, targets, block_tokens=100).groupBy("source").agg(F.sum("n_tokens").alias("n"), F.max("use").alias("u")).collect()
-    n = {r.source: r.n for r in m}
-    assert set(n) == {"a", "b"} and abs(n["b"] / sum(n.values()) - 0.75) < 0.01 and all(r.u <= 2 for r in m)
+    rows = mixing.mix_sources(texts, targets, block_tokens=100).collect()
+    n = {s: sum(r.n_tokens for r in rows if r.source == s) for s in {r.source for r in rows}}
+    assert set(n) == {"a", "b"} and abs(n["b"] - 0.75 * sum(n.values())) <= 1 and max(r.use for r in rows) <= 2
+    used, slot = dict.fromkeys(n, 0), 0
+    for r in sorted(rows, key=lambda r: (r.slot, r.place)):
+        if r.slot != slot:
+            assert all(abs(used[s] - w * sum(used.values())) < 100 for s, w in (("a", 0.25), ("b", 0.75)))
+            slot = r.slot
+        used[r.source] += r.n_tokens
+    # every text's pieces are whole and follow each other
+    by: dict = {}
+    for r in rows:
+        by.setdefault((r.doc_id, r.use), []).append((r.from_token, r.n_tokens))
+    sizes = {r.doc_id: r.n_tokens for r in texts.collect()}
+    cut = 0
+    for (doc, _), pieces in by.items():
+        at = 0
+        for begin, size in sorted(pieces):
+            assert begin == at and size > 0
+            at += size
+        cut += at != sizes[doc]
+    assert cut <= 2
+    short = mixing.mix_sources(texts, targets, block_tokens=100, total_tokens=10**6).groupBy("source").agg(F.sum("n_tokens").alias("n"), F.max("wanted").alias("w")).collect()
+    assert all(r.n < r.w for r in short)
     assert mixing.mix_sources(texts.limit(0), targets).count() == 0
 
 
