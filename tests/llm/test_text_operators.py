@@ -26,6 +26,11 @@ def cut(text):
         ("क्या है? नहीं। हाँ।", ["क्या है?", "नहीं।", "हाँ।"]),
         ("Known limits\n\n1. check it\n2. check\nthat. Now\n\nEnd", ["Known limits", "1. check it", "2. check\nthat. Now", "End"]),
         ("One line\r\nwraps here. Two.\r\n\r\nThree", ["One line\r\nwraps here.", "Two.", "Three"]),
+        ("Give it to me. Then go home.", ["Give it to me.", "Then go home."]), ("He likes art. She left early.", ["He likes art.", "She left early."]),
+        ("Open the app. Then click.", ["Open the app.", "Then click."]), ("Look at the ref. It was wrong.", ["Look at the ref.", "It was wrong."]),
+        ("See Art. III of the act. It is cf. Fig. B here.", ["See Art. III of the act.", "It is cf. Fig. B here."]),
+        ("Il a lu la lettre de Me. Velmar et des autres.", ["Il a lu la lettre de Me. Velmar et des autres."]),
+        ("the " + "x" * 500 + ". Then it was.", ["the " + "x" * 500 + ".", "Then it was."]),
         ("« Attendez ! » cria le commis. M. Velmar lit.", ["« Attendez ! » cria le commis.", "M. Velmar lit."]),
     ],
 )
