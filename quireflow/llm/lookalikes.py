@@ -1,10 +1,11 @@
 """Text that looks the same made of the same characters.
 
 Texts are taken apart into code points with their places. Broadcast joins with two fixed tables (code point to plain
-form and kind; base and mark to their composed letter) give each code point's plain form, windows over the text give
-its neighbours, its word and the alphabets of both, and decide whether the plain form holds there: full-width
-punctuation belongs into Chinese and Japanese text, joiners into emoji and some scripts, Cyrillic and Greek letters
-into words of their own. Strings are rebuilt from the plain forms, combining marks ordered by class and composed.
+form and kind; mark to its class) give each code point's plain form, windows over the text give its neighbours, its word
+and the alphabets of both, and decide whether the plain form holds there: full-width punctuation belongs into Chinese and
+Japanese text, joiners into emoji and some scripts, Cyrillic and Greek letters into words of their own. The marks of a
+letter, however many, are put in the order of their classes and composed with it one after another by the table of
+compositions; those that the letter takes up were held apart. Strings are rebuilt from the plain forms.
 
 The tables are built from the character database that Python has; they don't grow with the data (about 3,000 rows).
 """
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
-from ..sources.tables import one_per_id, table
+from ..sources.tables import cut_lineage, one_per_id, table
 from .letters import CYRILLIC, GREEK, HIDDEN, LATIN_LIKE, SPACES
 from .mojibake import find_garbled, text_values
 
@@ -72,34 +73,76 @@ def composed_table() -> tuple[tuple[str, str, str], ...]:
     return tuple(out)
 
 
-def _cyrillic(c: Column) -> Column:
-    return c.rlike(r"\p{IsCyrillic}")
+@cache
+def class_table() -> tuple[tuple[str, int], ...]:
+    """(mark, combining class) of the marks that some composition takes up."""
+    return tuple((m, unicodedata.combining(m)) for m in sorted({m for _, m, _ in composed_table()}))
+
+
+#: Code points of one partition: windows cost time by code points, which compress to little, so bytes are no measure.
+POINTS = 1_000_000
+
+
+def spread_texts(points: DataFrame, number: int) -> DataFrame:
+    """points by text, in partitions by their number."""
+    cores = points.sparkSession.sparkContext.defaultParallelism
+    return points.repartition(max(3 * cores, number // POINTS), "text_id")
+
+
+def taken_up(points: DataFrame) -> DataFrame:
+    """text_id, pos of the marks that compose with the letter before them; points: text_id, pos, ch, mark, base (struct of pos and ch of the letter).
+
+    Marks are ordered by class; one of the same class as a mark that stays apart is blocked by it.
+    """
+    spark = points.sparkSession
+    classes = F.broadcast(spark.createDataFrame(list(class_table()), "ch string, cls int"))
+    listed = lambda values: F.split(F.lit(" ".join(values)), " ")
+    joined = F.map_from_arrays(listed([b + m for b, m, _ in composed_table()]), listed([c for _, _, c in composed_table()]))
+    marks = points.where(F.col("mark") & F.col("base").isNotNull()).join(classes, "ch")
+    clusters = marks.groupBy("text_id", "base").agg(F.array_sort(F.collect_list(F.struct("cls", "pos", "ch"))).alias("marks"))
+    # many letters have the same marks: the table is asked once for each such sequence
+    kinds = clusters.select(F.col("base.ch").alias("b"), F.transform("marks", lambda x: F.struct(x["cls"].alias("cls"), x["ch"].alias("ch"))).alias("m")).distinct()
+    start = F.struct(F.col("b").alias("cur"), F.lit(-1).alias("last"), F.array().cast("array<boolean>").alias("took"))
+
+    def step(s: Column, x: Column) -> Column:
+        to = F.element_at(joined, F.concat(s["cur"], x["ch"]))
+        takes = to.isNotNull() & (s["last"] != x["cls"])
+        return F.struct(F.when(takes, to).otherwise(s["cur"]).alias("cur"), F.when(takes, s["last"]).otherwise(x["cls"]).alias("last"), F.array_append(s["took"], F.coalesce(takes, F.lit(False))).alias("took"))
+
+    told = kinds.select("b", "m", F.aggregate("m", start, step)["took"].alias("took"))
+    hits = clusters.withColumn("b", F.col("base.ch")).withColumn("m", F.transform("marks", lambda x: F.struct(x["cls"].alias("cls"), x["ch"].alias("ch")))).join(told, ["b", "m"])
+    return hits.select("text_id", F.explode(F.filter(F.zip_with("marks", "took", lambda x, t: F.when(t, x["pos"])), lambda p: p.isNotNull())).alias("pos"))
 
 
 def code_points(texts: DataFrame) -> DataFrame:
     """text_id, pos, ch of texts (text_id, text)."""
+    texts = spread_texts(texts, texts.agg(F.sum(F.length("text"))).first()[0] or 0)
     return texts.select("text_id", F.posexplode(F.split("text", "")).alias("pos", "ch")).where(F.length("ch") > 0)
 
 
-def judge(points: DataFrame, keep: list[str]) -> DataFrame:
-    """keep, text_id, pos, ch, plain, odd, undecided of code points (text_id, pos, ch): whether a point should be its plain form.
+def judge(points: DataFrame, keep: list[str], all_texts: bool = True) -> DataFrame:
+    """keep, text_id, pos, ch, plain, odd, undecided of code points (text_id, pos, ch; a text in one partition): whether a point should be its plain form.
 
+    Texts without any code point of the tables, mark or letter of the look-alike alphabets can't hold an odd one; without all_texts they are left out.
     undecided: a word that could be all of another alphabet, in a text with no other letter to tell by.
     """
     spark = points.sparkSession
     codes = F.broadcast(spark.createDataFrame(list(code_table()), "ch string, plain string, kind string"))
-    pairs = F.broadcast(spark.createDataFrame(list(composed_table()), "prev string, ch string, joined string"))
-    # windows cost time by code points, which compress to little: a number of partitions keeps them from being merged by their bytes
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
-    d = points.repartition(parts, "text_id").join(codes, "ch", "left")
+    d = points.join(codes, "ch", "left")
     text = Window.partitionBy("text_id").orderBy("pos")
+    if not all_texts:
+        special = F.col("kind").isNotNull() | F.col("ch").rlike(r"^[\p{M}\p{IsCyrillic}\p{IsGreek}\x{1100}-\x{11FF}]")
+        d = d.withColumn("special", F.max(special).over(Window.partitionBy("text_id"))).where("special").drop("special")
     ch, kind = F.col("ch"), F.col("kind")
     mark = ch.rlike(r"^\p{M}$")
     unseen = F.coalesce(kind.isin("hidden", "joiner"), F.lit(False))
     letter = ch.rlike(r"^\p{L}$") | F.coalesce(kind.isin("numeral", "ligature"), F.lit(False))
     d = d.withColumn("mark", mark).withColumn("unseen", unseen).withColumn("letter", letter & ~unseen)
     seen = F.when(~F.col("unseen"), ch)
-    d = d.withColumn("prev", F.last(seen, True).over(text.rowsBetween(Window.unboundedPreceding, -1)))
+    before = text.rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("prev", F.last(seen, True).over(before)).withColumn("base", F.last(F.when(~F.col("unseen") & ~F.col("mark"), F.struct("pos", "ch")), True).over(before))
+    # read twice below; few texts are left where not all are asked for
+    d = cut_lineage(d)
     d = d.withColumn("left1", F.lag("ch").over(text)).withColumn("right1", F.lead("ch").over(text))
     d = d.withColumn("word", F.sum(F.when(F.col("letter") | F.col("mark") | F.col("unseen"), 0).otherwise(1)).over(text.rowsBetween(Window.unboundedPreceding, 0)))
     latin = ch.rlike(r"^\p{IsLatin}$") & ~F.coalesce(kind.isin("numeral"), F.lit(False))
@@ -107,18 +150,15 @@ def judge(points: DataFrame, keep: list[str]) -> DataFrame:
     like_cyrillic, like_greek = "".join(sorted(set(CYRILLIC.values()))), "".join(sorted(set(GREEK.values())))
     own = lambda cond: F.coalesce(cond, F.lit(False)).cast("int")
     twin_c, twin_g = ch.rlike(f"^[{like_cyrillic}]$"), ch.rlike(f"^[{like_greek}]$")
-    d = (
-        d.withColumn("la", own(latin)).withColumn("cy", own(cyrillic)).withColumn("gr", own(greek))
-        .withColumn("cy_only", own(cyrillic & ~F.coalesce(kind == "cyrillic", F.lit(False))))
-        .withColumn("gr_only", own(greek & ~F.coalesce(kind == "greek", F.lit(False))))
-        .withColumn("la_not_cy", own(latin & ~twin_c)).withColumn("la_not_gr", own(latin & ~twin_g))
-        .withColumn("small", own(ch.rlike(r"^\p{Ll}$"))).withColumn("cjk", own(ch.rlike(f"^{_CJK}$"))).withColumn("rtl", own(ch.rlike(r"^[\p{IsArabic}\p{IsHebrew}]$")))
-    )
+    d = d.withColumns({
+        "la": own(latin), "cy": own(cyrillic), "gr": own(greek),
+        "cy_only": own(cyrillic & ~F.coalesce(kind == "cyrillic", F.lit(False))), "gr_only": own(greek & ~F.coalesce(kind == "greek", F.lit(False))),
+        "la_not_cy": own(latin & ~twin_c), "la_not_gr": own(latin & ~twin_g),
+        "small": own(ch.rlike(r"^\p{Ll}$")), "cjk": own(ch.rlike(f"^{_CJK}$")), "rtl": own(ch.rlike(r"^[\p{IsArabic}\p{IsHebrew}]$")),
+    })
     word, whole = Window.partitionBy("text_id", "word"), Window.partitionBy("text_id")
-    for c in "la cy gr cy_only gr_only la_not_cy la_not_gr small".split():
-        d = d.withColumn(f"w_{c}", F.sum(c).over(word))
-    for c in "la cy_only gr_only la_not_cy la_not_gr cjk rtl".split():
-        d = d.withColumn(f"t_{c}", F.sum(c).over(whole))
+    d = d.withColumns({f"w_{c}": F.sum(c).over(word) for c in "la cy gr cy_only gr_only la_not_cy la_not_gr small".split()})
+    d = d.withColumns({f"t_{c}": F.sum(c).over(whole) for c in "la cy_only gr_only la_not_cy la_not_gr cjk rtl".split()})
     k = lambda c: F.col(c)
     in_cjk = k("t_cjk") > 0
     letters = own(k("letter")) == 1
@@ -139,7 +179,7 @@ def judge(points: DataFrame, keep: list[str]) -> DataFrame:
     emoji = r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{2190}-\x{21FF}\x{2B00}-\x{2BFF}\x{FE0F}\x{1F3FB}-\x{1F3FF}\x{2300}-\x{23FF}]"
     beside = lambda pattern: k("left1").rlike(pattern) & k("right1").rlike(pattern)
     needed = (k("left1").rlike(emoji) & k("right1").rlike(emoji)) | beside(_JOINING) | (k("left1").rlike(_JOINING) & (ch == "\u200d"))
-    d = d.join(pairs, ["prev", "ch"], "left")
+    d = d.join(taken_up(d.select("text_id", "pos", "ch", "mark", "base")).withColumn("joined", F.lit(True)), ["text_id", "pos"], "left")
     jamo = ch.rlike(r"^[\x{1161}-\x{1175}\x{11A8}-\x{11C2}]$") & k("prev").rlike(r"^[\x{1100}-\x{1112}\x{1161}-\x{1175}\x{AC00}-\x{D7A3}]$")
     odd = (
         F.when(kind.isin("wide", "half", "ligature", "space", "hyphen", "same"), True)
@@ -166,8 +206,9 @@ def judge(points: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def _back(table: dict[str, str], ch: Column) -> Column:
-    """The letter of the other alphabet that a Latin letter stands in for."""
-    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for c, p in table.items() for x in (p, c)][: 2 * len(table)]) if len(set(table.values())) == len(table) else F.map_from_entries(F.array(*[F.struct(F.lit(p), F.lit(c)) for p, c in {p: c for c, p in table.items()}.items()])), ch), ch)
+    """The letter of the other alphabet that a Latin letter stands in for; itself if there is none."""
+    twins = {p: c for c, p in table.items()}
+    return F.coalesce(F.nullif(F.translate(ch, "".join(twins), "".join(twins.values())), F.lit("")), ch)
 
 
 def _shape(c: Column) -> Column:
@@ -197,7 +238,7 @@ def field_points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 def plain_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """text_id, plain, odd of the form values beyond ASCII (all others are plain as they are)."""
     texts, shapes = field_points(spark, sf_dir)
-    d = _rebuilt(judge(code_points(texts), []), [])
+    d = _rebuilt(judge(code_points(texts), [], all_texts=False), [])
     # a value that may be all of another alphabet is judged by whether values of its Latin shape occur
     open_ones = d.where(F.col("undecided")).join(shapes, _shape(F.col("as_latin")) == F.col("shape"), "left")
     return d.where(~F.col("undecided")).select("text_id", "plain", "odd").unionByName(
@@ -207,15 +248,16 @@ def plain_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def glyph_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """text_id, pos, ch, char_id of the glyphs: a text is a line of a page (glyphs of one base line)."""
-    chars = one_per_id(table(spark, sf_dir, "chars"), "char_id", "doc", "page", "idx", "ch", "rect").where(F.length("ch") > 0)
-    line = F.xxhash64("doc", "page", F.round(F.col("rect.bottom") * 4))
-    return chars.select(line.alias("text_id"), F.col("idx").alias("pos"), "ch", "char_id")
+    chars = table(spark, sf_dir, "chars").where(F.col("char_id").isNotNull() & (F.length("ch") > 0))
+    line = F.struct("doc", "page", F.round(F.col("rect.bottom") * 4).alias("line"))
+    points = spread_texts(chars.select(line.alias("text_id"), F.col("idx").alias("pos"), "ch", "char_id"), chars.count())
+    return points.dropDuplicates(["text_id", "char_id"])  # a repeated row stands in the same line
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     garbled = find_garbled(text_values(spark, sf_dir)).where(F.col("source_table") == "form_fields").select(F.col("row_id").alias("text_id"))
     fields = plain_fields(spark, sf_dir).where(F.col("odd")).join(garbled, "text_id", "left_anti").select(F.lit("form_fields").alias("source_table"), F.col("text_id").alias("row_id"))
-    glyphs = judge(glyph_points(spark, sf_dir), ["char_id"]).where(F.col("odd") | F.col("undecided")).select(F.lit("chars").alias("source_table"), F.col("char_id").alias("row_id"))
+    glyphs = judge(glyph_points(spark, sf_dir), ["char_id"], all_texts=False).where(F.col("odd") | F.col("undecided")).select(F.lit("chars").alias("source_table"), F.col("char_id").alias("row_id"))
     return fields.unionByName(glyphs)
 
 

@@ -271,3 +271,18 @@ def test_marks_by_confidence(spark):
     rows += [(2000 + i, "d", 1, "•'", 0, 0, 1, 1, 30.0, None) for i in range(9)] + [(3000, "d", 1, "•'", 0, 0, 1, 1, None, None)]
     d = spark.createDataFrame(rows, "word_id long, doc string, page int, text string, left_px int, top_px int, width_px int, height_px int, confidence double, line struct<block:int,par:int,line:int>")
     assert {r.word_id for r in scans.marks(scans.lay_out(d)).collect()} == {*range(2000, 2009), 3000}
+
+
+def test_stacked_marks(spark):
+    """Every mark that a letter takes up is found, in whatever order the marks are written; one that its letter can't take is none."""
+    import unicodedata
+
+    texts = ["a\u0323\u0302", "a\u0302\u0323", "λ α\u0313\u0301\u0345 θ", "e\u0301\u0300", "q\u0323\u0301", "o\u031b\u0323b", "é\u0323", "\u0301", "a\u0330\u0301"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "text_id long, text string")
+    judged = lookalikes.judge(lookalikes.code_points(d), [])
+    odd = {i: set() for i in range(len(texts))}
+    for r in judged.where("odd").collect():
+        odd[r.text_id].add(r.pos)
+    assert [odd[i] for i in range(len(texts))] == [{1, 2}, {1, 2}, {3, 4, 5}, {1}, set(), {1, 2}, {1}, set(), {2}]
+    plain = {r.text_id: r.plain for r in lookalikes._rebuilt(judged, []).collect()}
+    assert all(plain[i] == unicodedata.normalize("NFC", t) for i, t in enumerate(texts))
