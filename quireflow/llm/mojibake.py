@@ -1,11 +1,12 @@
 """Text decoded with the wrong character encoding: which records, and the original text where it can be restored.
 
-A value is cut at blanks into chunks. Chunks with characters beyond ASCII are joined with their near-twin, the most
-frequent chunk that has the same ASCII characters; the runs that stand between the same ASCII characters are aligned,
-and each aligned run votes for the pairs of encodings (as read, as written) that turn one into the other. Pairs with
-enough votes are the learned transformations. They, and the pairs whose texts keep no ASCII character to align by
-(other scripts, UTF-8, EBCDIC, UTF-16 of wrong byte order), are applied to all chunks. A restored chunk is accepted if
-what it is made of is common in the corpus and what it was made of isn't.
+A value is cut at blanks into chunks. What goes wrong is learned from twins, pairs of a garbled record's chunk and a clean
+one: chunks that are equal once all that is not ASCII is taken out, the more frequent one clean, are aligned by the ASCII
+characters, and each aligned run votes for the pairs of encodings (as read, as written) that turn one into the other, or,
+where none does, for the run itself as a mapping. Chunks that keep no ASCII to align by (other scripts, UTF-16) are joined
+with the clean chunk that a pair of encodings turns them into. Pairs and runs with enough twins are the learned
+transformations; they alone are applied to all other chunks. A restored chunk is accepted if what it is made of is common
+in the corpus and what it was made of isn't.
 
 Encodings that write with ASCII alone (UTF-7, ISO-2022, HZ) leave no character beyond ASCII: chunks that hold one of their
 shifts are tried too, and where one of a value's chunks is accepted, its others were written by the same encoding.
@@ -29,12 +30,13 @@ from ..sources.tables import cut_lineage, one_per_id, table
 from .letters import CYRILLIC, GREEK, HIDDEN
 from .spread import spread
 
-#: Encodings by what they write. `latin` writes Western letters, whose ASCII neighbours make twins possible.
+#: Encodings by what they are read as and what they are written in; `latin` writes Western letters.
 READ_AS = "cp1252 cp1250 cp1251 cp1253 cp437 cp850 cp852 cp866 mac_roman koi8_r gbk cp932 cp949 big5".split()
 LATIN = "cp1252 cp1250 cp437 cp850 mac_roman".split()
 OTHER = "cp1251 cp1253 koi8_r cp866 cp855 mac_cyrillic gb18030 cp932 euc_jp cp949 big5 cp037 cp500 cp1140".split()
-PAIRS_ANYWHERE = [(w, "utf-8") for w in READ_AS] + [(w, r) for w in READ_AS for r in OTHER if w != r and not (w in ("gbk", "cp932", "cp949", "big5") and r in OTHER)]
-PAIRS_LEARNED = [(w, r) for w in READ_AS[:10] for r in LATIN if w != r]
+#: The pairs of encodings that twins may vote for.
+PAIRS = [(w, "utf-8") for w in READ_AS] + [(w, r) for w in READ_AS for r in OTHER if w != r and not (w in ("gbk", "cp932", "cp949", "big5") and r in OTHER)] + [(w, r) for w in READ_AS[:10] for r in LATIN if w != r]
+#: Distinct garbled chunks that a transformation must explain.
 MIN_VOTES = 2
 #: Encodings that write with ASCII alone, by the shifts that show them.
 SHIFTS = {"utf-7": r"\+[A-Za-z0-9/]{2,}-?", "iso2022_jp_2": r"\x1b[$(.]", "iso2022_kr": r"\x1b\$\)C|\x0e", "hz": r"~\{"}
@@ -113,15 +115,20 @@ def unshift(text: str, codec: str) -> str | None:
 
 
 @lru_cache(maxsize=50_000)
-def readings(chunk: str, learned: tuple[tuple[str, str], ...]) -> tuple[tuple[str, str], ...]:
-    """(way, restored) of each way in which the chunk may have been decoded wrongly."""
-    found: dict[str, str] = {}
+def readings(chunk: str) -> tuple[tuple[str, tuple[str, ...]], ...]:
+    """(restored, ways) of each text that the chunk may have been, with all ways of decoding it wrongly that lead to it."""
+    found: dict[str, list[str]] = {}
     data = {w: _encode(chunk, w) for w in READ_AS}
-    for w, r in (*PAIRS_ANYWHERE, *learned):
+    for w, r in PAIRS:
         if (b := data[w]) is None:
             continue
         t = _decode(b, r)
-        if t is None or t == chunk or t in found or not _plain(t):
+        if t is None or t == chunk:
+            continue
+        if t in found:
+            found[t].append(f"{r} read as {w}")
+            continue
+        if not _plain(t):
             continue
         if r in _EBCDIC:  # letters and digits lie beyond ASCII there
             if not _PUNCHED.fullmatch(t) or sum(c > "\x7f" for c in chunk) < 0.6 * len(chunk):
@@ -130,25 +137,25 @@ def readings(chunk: str, learned: tuple[tuple[str, str], ...]) -> tuple[tuple[st
             continue
         elif r in OTHER and regex.search(r"\p{Latin}", t) and not regex.search(r"[\p{Cyrillic}\p{Greek}]{3}|[\p{Han}\p{Hangul}\p{Hiragana}\p{Katakana}]", t):
             continue
-        found[t] = f"{r} read as {w}"
+        found[t] = [f"{r} read as {w}"]
         if r == "utf-8":  # the same again
             for w2 in ("cp1252", "cp1250", "mac_roman", "cp437"):
                 b2 = _encode(t, w2)
                 t2 = _decode(b2, "utf-8") if b2 is not None else None
                 if t2 is not None and t2 != t and _plain(t2):
-                    found.setdefault(t2, f"{r} read as {w2}, then {r} read as {w}")
+                    found.setdefault(t2, []).append(f"{r} read as {w2}, then {r} read as {w}")
     look = chunk.translate(_LOOK)
     if look != chunk and look and _plain(look):  # nothing decoded wrongly: letters that look the same
-        found[look] = "look-alikes"
+        found[look] = ["look-alikes"]
     if all(ord(c) > 0xFF or c == "\x00" for c in chunk):
         t = _decode(chunk.encode("utf-16-be", "surrogatepass"), "utf-16-le")
         if t and _plain(t):
-            found.setdefault(t, "utf-16 of the other byte order")
+            found.setdefault(t, []).append("utf-16 of the other byte order")
     for codec in SHIFTS:
         t = unshift(chunk, codec)
         if t and _plain(t):
-            found.setdefault(t, f"{codec} read as ascii")
-    return tuple((way, t) for t, way in found.items())
+            found.setdefault(t, []).append(f"{codec} read as ascii")
+    return tuple((t, tuple(ways)) for t, ways in found.items())
 
 
 def restore_marked(value: str) -> str | None:
@@ -176,15 +183,16 @@ def _runs(chunk: str) -> list[str]:
 
 
 def votes(garbled: str, clean: str) -> list[str]:
-    """Pairs of encodings that turn every run of one chunk into the aligned run of its twin."""
+    """Ways that turn every run of one chunk into the aligned run of its twin; where none does, each garbled run with its clean one (parted by a NUL), if it holds signs that no word has."""
     a, b = _runs(garbled), _runs(clean)
     if len(a) != len(b):
         return []
     parts = [(x, y) for x, y in zip(a, b, strict=True) if x != y]
-    out = []
-    for w, r in (*PAIRS_LEARNED, *[(w, "utf-8") for w in READ_AS]):
-        if parts and all((e := _encode(x, w)) is not None and _decode(e, r) == y for x, y in parts):
-            out.append(f"{w}>{r}")
+    if not parts:
+        return []
+    out = [f"{r} read as {w}" for w, r in PAIRS if all((e := _encode(x, w)) is not None and _decode(e, r) == y for x, y in parts)]
+    if not out:
+        out = [f"{x}\x00{y}" for x, y in parts if x and regex.search(r"[\p{S}\p{Cc}\p{Cn}\p{Co}]", x) and regex.fullmatch(r"[\p{L}\p{M}]+", y)]
     return out
 
 
@@ -213,8 +221,8 @@ def _feature_counts(chunks: DataFrame) -> DataFrame:
     return chunks.mapInPandas(work, "feature string, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
-def learned_pairs(chunks: DataFrame, min_votes: int = MIN_VOTES) -> list[tuple[str, str]]:
-    """Pairs of encodings with at least min_votes distinct chunks that a twin explains. At most as many as there are pairs."""
+def learned_ways(chunks: DataFrame, tried: DataFrame, min_votes: int = MIN_VOTES) -> DataFrame:
+    """way, votes: transformations with at least min_votes distinct chunks that a twin explains; a run is a way of its own ("garbled NUL clean")."""
     stripped = F.regexp_replace("chunk", r"[^\x01-\x7e]", "")
     d = chunks.withColumn("bare", stripped).where(F.length(F.regexp_replace("bare", "[^A-Za-z]", "")) >= 2)
     # one twin per group: its most frequent chunk; groups of any size are folded before they are shuffled
@@ -225,33 +233,58 @@ def learned_pairs(chunks: DataFrame, min_votes: int = MIN_VOTES) -> list[tuple[s
         for pdf in batches:
             c: Counter = Counter()
             for g, t in zip(pdf["chunk"], pdf["twin"], strict=True):
-                c.update(votes(g, t))
-            yield pd.DataFrame({"pair": list(c), "n": list(c.values())})
+                c.update(set(votes(g, t)))
+            yield pd.DataFrame({"way": list(c), "n": list(c.values())})
 
-    got = pairs.select("chunk", "twin").mapInPandas(work, "pair string, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= min_votes).collect()
-    return sorted(tuple(r["pair"].split(">")) for r in got)
+    aligned = pairs.select("chunk", "twin").mapInPandas(work, "way string, n bigint")
+    clean = chunks.where(F.col("n") >= MIN_VOTES).select(F.col("chunk").alias("restored"), F.col("n").alias("seen"))
+    turned = tried.where(F.size("ways") > 0).join(clean, "restored").join(chunks.select("chunk", "n"), "chunk").where(F.col("seen") > F.col("n"))
+    turned = turned.select(F.explode("ways").alias("way"), F.lit(1).cast("bigint").alias("n"))
+    return aligned.unionByName(turned).groupBy("way").agg(F.sum("n").alias("votes")).where(F.col("votes") >= min_votes)
 
 
-def garbled_chunks(values: DataFrame) -> DataFrame:
+def garbled_chunks(values: DataFrame, learn=learned_ways) -> DataFrame:
     """chunk, restored, way of the chunks of values that were decoded wrongly."""
     chunks = values.groupBy("value").agg(F.count(F.lit(1)).alias("m")).select(F.explode(F.split("value", " ")).alias("chunk"), "m")
     chunks = cut_lineage(chunks.where(F.length("chunk") > 0).groupBy("chunk").agg(F.sum("m").alias("n")))
     counts = cut_lineage(_feature_counts(chunks))
-    learned = tuple(p for p in learned_pairs(chunks) if p[1] != "utf-8")
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for chunk in pdf["chunk"]:
-                ways = readings(chunk, learned)
-                if ways:
-                    rows.append((chunk, "", chunk, chunk_features(chunk)))
-                rows.extend((chunk, way, t, chunk_features(t)) for way, t in ways)
-            yield pd.DataFrame(rows, columns=["chunk", "way", "restored", "features"])
+                rows.append((chunk, [], chunk))
+                rows.extend((chunk, list(ways), t) for t, ways in readings(chunk))
+            yield pd.DataFrame(rows, columns=["chunk", "ways", "restored"])
 
     odd = spread(chunks.where(F.col("chunk").rlike(ODD)).select("chunk"))
-    tried = odd.mapInPandas(work, "chunk string, way string, restored string, features array<string>")
-    asked = tried.select("chunk", "way", "restored", F.explode_outer("features").alias("feature")).join(counts, "feature", "left")
+    tried = cut_lineage(odd.mapInPandas(work, "chunk string, ways array<string>, restored string"))
+    # pairs of encodings are as many as are listed above; runs as many as twins of at least two chunks show
+    learned = cut_lineage(learn(chunks, tried))
+    codecs = tuple(r["way"] for r in learned.where(~F.col("way").contains("\x00")).select("way").collect())
+    known = F.filter("ways", lambda w: w.isin("look-alikes", *codecs))
+    told = tried.withColumn("way", F.when(F.size("ways") == 0, "").otherwise(F.get(known, F.lit(0)))).where(F.col("way").isNotNull()).select("chunk", "way", "restored")
+    told = told.unionByName(_by_runs(odd, learned))
+    return _judged(told, counts)
+
+
+def _by_runs(odd: DataFrame, learned: DataFrame) -> DataFrame:
+    """chunk, way, restored: chunks with runs that twins mapped; of several mappings of a run the one with the most votes."""
+    runs = learned.where(F.col("way").contains("\x00")).select(F.split("way", "\x00").alias("p"), "votes").select(F.col("p")[0].alias("run"), F.col("p")[1].alias("to"), "votes")
+    runs = runs.groupBy("run").agg(F.max_by("to", F.struct("votes", "to")).alias("to"))
+    parts = odd.select("chunk", F.posexplode(F.split("chunk", r"(?<=[\x00-\x7f])(?=[^\x00-\x7f])|(?<=[^\x00-\x7f])(?=[\x00-\x7f])")).alias("i", "run"))
+    parts = parts.join(runs, "run", "left").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("to", "run").alias("t")))).alias("p"), F.count("to").alias("k"))
+    return parts.where("k > 0").select("chunk", F.lit("learned runs").alias("way"), F.array_join(F.transform("p", lambda x: x["t"]), "").alias("restored"))
+
+
+def _judged(told: DataFrame, counts: DataFrame) -> DataFrame:
+    def made_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf["features"] = [chunk_features(t) for t in pdf["restored"]]
+            yield pdf
+
+    made = told.mapInPandas(made_of, "chunk string, way string, restored string, features array<string>")
+    asked = made.select("chunk", "way", "restored", F.explode_outer("features").alias("feature")).join(counts, "feature", "left")
     n = F.coalesce(F.col("n"), F.lit(0))
     # a restored chunk's features include nothing of the garbled ones, so that its counts are those of right text
     scored = asked.groupBy("chunk", "way", "restored").agg(F.avg(F.log2(n + 0.25)).alias("score"), F.avg(F.when(n >= 2, 1.0).otherwise(0.0)).alias("known"), F.avg(F.when(n >= 1, 1.0).otherwise(0.0)).alias("seen"))
@@ -265,10 +298,10 @@ def garbled_chunks(values: DataFrame) -> DataFrame:
     return judged.where(good).select("chunk", F.col("best.restored").alias("restored"), F.col("best.way").alias("way"))
 
 
-def find_garbled(values: DataFrame) -> DataFrame:
+def find_garbled(values: DataFrame, learn=learned_ways) -> DataFrame:
     """source_table, row_id, value, restored, recovered of the wrongly decoded values; restored is null where nothing could be restored."""
     values = cut_lineage(values)
-    bad = garbled_chunks(values)
+    bad = garbled_chunks(values, learn)
     sure = values.where(F.col("value").rlike("[\\x00�\\x80-\\x84\\x86-\\x9f]|^(þÿ|ÿþ|ï»¿)|[\\s\\d.](þÿ|ÿþ)"))
     mark = F.pandas_udf(lambda s: s.map(lambda v: restore_marked(v) if v is not None else None), "string")
     sure = sure.select("source_table", "row_id", "value", mark("value").alias("marked"))
