@@ -52,7 +52,7 @@ _LOOK = {ord(c): p for c, p in (CYRILLIC | GREEK).items()} | {ord(c): None for c
 _EBCDIC = ("cp037", "cp500", "cp1140")
 _PUNCHED = regex.compile(r"[A-Za-z0-9 .,:;()/&'-]{3,}")
 
-_ALPHABETS = regex.compile(r"\p{Latin}+|\p{Cyrillic}+|\p{Greek}+|[\p{Han}\p{Hiragana}\p{Katakana}ー]+|\p{Hangul}+")
+_ALPHABETS = regex.compile(r"\p{Latin}+|\p{Cyrillic}+|\p{Greek}+|[\p{Han}\p{Hiragana}\p{Katakana}ー\p{Hangul}]+")
 
 
 def _encode(text: str, codec: str) -> bytes | None:
@@ -128,6 +128,12 @@ def readings(chunk: str) -> tuple[tuple[str, tuple[str, ...]], ...]:
         if t in found:
             found[t].append(f"{r} read as {w}")
             continue
+        if r == "utf-8":  # the same again; what lies between need not look like text
+            for w2 in ("cp1252", "cp1250", "mac_roman", "cp437"):
+                b2 = _encode(t, w2)
+                t2 = _decode(b2, "utf-8") if b2 is not None else None
+                if t2 is not None and t2 != t and _plain(t2):
+                    found.setdefault(t2, []).append(f"{r} read as {w2}, then {r} read as {w}")
         if not _plain(t):
             continue
         if r in _EBCDIC:  # letters and digits lie beyond ASCII there
@@ -138,12 +144,6 @@ def readings(chunk: str) -> tuple[tuple[str, tuple[str, ...]], ...]:
         elif r in OTHER and regex.search(r"\p{Latin}", t) and not regex.search(r"[\p{Cyrillic}\p{Greek}]{3}|[\p{Han}\p{Hangul}\p{Hiragana}\p{Katakana}]", t):
             continue
         found[t] = [f"{r} read as {w}"]
-        if r == "utf-8":  # the same again
-            for w2 in ("cp1252", "cp1250", "mac_roman", "cp437"):
-                b2 = _encode(t, w2)
-                t2 = _decode(b2, "utf-8") if b2 is not None else None
-                if t2 is not None and t2 != t and _plain(t2):
-                    found.setdefault(t2, []).append(f"{r} read as {w2}, then {r} read as {w}")
     look = chunk.translate(_LOOK)
     if look != chunk and look and _plain(look):  # nothing decoded wrongly: letters that look the same
         found[look] = ["look-alikes"]
@@ -192,7 +192,8 @@ def votes(garbled: str, clean: str) -> list[str]:
         return []
     out = [f"{r} read as {w}" for w, r in PAIRS if all((e := _encode(x, w)) is not None and _decode(e, r) == y for x, y in parts)]
     if not out:
-        out = [f"{x}\x00{y}" for x, y in parts if x and regex.search(r"[\p{S}\p{Cc}\p{Cn}\p{Co}]", x) and regex.fullmatch(r"[\p{L}\p{M}]+", y)]
+        strange = bool(regex.search(r"\p{Ll}\p{Lu}\p{Ll}", garbled)) and not regex.search(r"\p{Ll}\p{Lu}\p{Ll}", clean)  # a capital within a word
+        out = [f"{x}\x00{y}" for x, y in parts if x and (strange or regex.search(r"[\p{S}\p{Cc}\p{Cn}\p{Co}]", x)) and regex.fullmatch(r"[\p{L}\p{M}]+", y)]
     return out
 
 
@@ -243,10 +244,25 @@ def learned_ways(chunks: DataFrame, tried: DataFrame, min_votes: int = MIN_VOTES
     return aligned.unionByName(turned).groupBy("way").agg(F.sum("n").alias("votes")).where(F.col("votes") >= min_votes)
 
 
-def garbled_chunks(values: DataFrame, learn=learned_ways) -> DataFrame:
-    """chunk, restored, way of the chunks of values that were decoded wrongly."""
+def chunks_of(values: DataFrame) -> DataFrame:
+    """chunk, n: the chunks of all values, with how many values' places hold them."""
     chunks = values.groupBy("value").agg(F.count(F.lit(1)).alias("m")).select(F.explode(F.split("value", " ")).alias("chunk"), "m")
-    chunks = cut_lineage(chunks.where(F.length("chunk") > 0).groupBy("chunk").agg(F.sum("m").alias("n")))
+    return cut_lineage(chunks.where(F.length("chunk") > 0).groupBy("chunk").agg(F.sum("m").alias("n")))
+
+
+def spaced_values(values: DataFrame, chunks: DataFrame) -> DataFrame:
+    """value, unspaced: values of 16-bit units whose zero bytes became blanks, so that every second character is one, where most of the words that this leaves are clean chunks."""
+    spaced = values.where(F.col("value").rlike(r"^(?:[^ ] |  ){3,}[^ ]?$|^(?: [^ ]|  ){3,}$")).select("value").distinct()
+    text = F.when(F.col("value").rlike(r"^(?:[^ ] |  )+[^ ]?$"), F.regexp_replace("value", "(.) ", "$1")).otherwise(F.regexp_replace("value", " (.)", "$1"))
+    spaced = spaced.withColumn("unspaced", text)
+    words = spaced.select("value", "unspaced", F.explode(F.split("unspaced", " ")).alias("chunk")).where(F.length("chunk") > 1)
+    clean = chunks.where(F.col("n") >= MIN_VOTES).select("chunk", F.lit(1).alias("clean"))
+    told = words.join(clean, "chunk", "left").groupBy("value", "unspaced").agg(F.avg(F.coalesce("clean", F.lit(0))).alias("known"))
+    return told.where("known >= 0.5").select("value", "unspaced")
+
+
+def garbled_chunks(values: DataFrame, chunks: DataFrame, learn=learned_ways) -> DataFrame:
+    """chunk, restored, way of the chunks of values that were decoded wrongly."""
     counts = cut_lineage(_feature_counts(chunks))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -301,7 +317,9 @@ def _judged(told: DataFrame, counts: DataFrame) -> DataFrame:
 def find_garbled(values: DataFrame, learn=learned_ways) -> DataFrame:
     """source_table, row_id, value, restored, recovered of the wrongly decoded values; restored is null where nothing could be restored."""
     values = cut_lineage(values)
-    bad = garbled_chunks(values, learn)
+    chunks = chunks_of(values)
+    bad = garbled_chunks(values, chunks, learn)
+    apart = spaced_values(values, chunks).join(values, "value").select("source_table", "row_id", F.col("value").alias("u"), "unspaced")
     sure = values.where(F.col("value").rlike("[\\x00�\\x80-\\x84\\x86-\\x9f]|^(þÿ|ÿþ|ï»¿)|[\\s\\d.](þÿ|ÿþ)"))
     mark = F.pandas_udf(lambda s: s.map(lambda v: restore_marked(v) if v is not None else None), "string")
     sure = sure.select("source_table", "row_id", "value", mark("value").alias("marked"))
@@ -311,10 +329,10 @@ def find_garbled(values: DataFrame, learn=learned_ways) -> DataFrame:
     hits = hits.groupBy("source_table", "row_id").agg(F.any_value("value").alias("v"), whole.alias("joined"), F.max("way").alias("way")).where(F.col("way").isNotNull())
     rest = F.pandas_udf(lambda v, way: pd.Series([unshift(x, y.removesuffix(" read as ascii")) for x, y in zip(v, way, strict=True)], dtype=object), "string")
     hits = hits.withColumn("joined", F.when(F.col("way").endswith(" read as ascii"), F.coalesce(rest("v", "way"), "joined")).otherwise(F.col("joined")))
-    both = sure.join(hits, ["source_table", "row_id"], "full")
+    both = sure.join(hits, ["source_table", "row_id"], "full").join(apart, ["source_table", "row_id"], "full")
     lost = F.coalesce("value", "v").contains("�")
-    text = F.when(lost, None).otherwise(F.coalesce("marked", "joined"))
-    return both.select("source_table", "row_id", F.coalesce("value", "v").alias("value"), text.alias("restored"), text.isNotNull().alias("recovered"))
+    text = F.when(lost, None).otherwise(F.coalesce("marked", "joined", "unspaced"))
+    return both.select("source_table", "row_id", F.coalesce("value", "v", "u").alias("value"), text.alias("restored"), text.isNotNull().alias("recovered"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,15 +117,26 @@ def test_wrong_encodings(spark):
     clean = ["Fülöp Grünefeld", "Renée Fléchard", "Тимофей Заречина", "Владимир Громовский", "Łucja Ostergård", "楼兰の報告書", "Größe M", "Ðora Þórunn"]
     values = [("t", i, v) for i, v in enumerate(clean * 30)]
     bad = {900: "Fülöp Grünefeld".encode().decode("cp1252"), 901: "Renée".encode("cp1252").decode("cp437"), 902: "Тимофей Заречина".encode("koi8_r").decode("cp1251"), 903: "þÿ\x00A\x00B", 904: "F�l�p", 905: "Größe M".encode().decode("cp1252").encode().decode("cp1252"), 907: "Fülöp".encode("cp1252").decode("cp437"), 906: "楼兰の報告書".encode().decode("latin-1")}
+    # a second case of each kind: what one record alone shows isn't learned
+    bad |= {910: "Renée Fléchard".encode().decode("cp1252"), 911: "Größe M".encode("cp1252").decode("cp437"), 912: "Владимир Громовский".encode("koi8_r").decode("cp1251"), 913: "Fülöp".encode().decode("cp1252").encode().decode("cp1252")}
     for i, v in bad.items():
         values.append(("t", i, v))
     d = spark.createDataFrame(values, "source_table string, row_id long, value string")
     got = {r.row_id: r.restored for r in mojibake.find_garbled(d).collect()}
     assert set(got) == set(bad)
+    none = lambda chunks, tried: mojibake.learned_ways(chunks, tried).limit(0)
+    assert {r.row_id for r in mojibake.find_garbled(d, none).collect()} == {903, 904, 906}  # without what twins teach: only what shows by itself
     assert got[900] == "Fülöp Grünefeld" and got[902] == "Тимофей Заречина" and got[903] == "AB" and got[904] is None and got[905] == "Größe M" and got[906] == "楼兰の報告書"
     assert mojibake.find_garbled(d.limit(0)).count() == 0
 
 
+def test_sixteen_bits_with_blanks(spark):
+    clean = ["Ein Zertifikat", "Norvane", "A B C", "x y z w v"] * 5
+    values = [("t", i, v) for i, v in enumerate(clean)] + [("t", 90, "E i n   Z e r t i f i k a t"), ("t", 91, " N o r v a n e"), ("t", 92, "q q q q q q")]
+    got = {r.row_id: r.restored for r in mojibake.find_garbled(spark.createDataFrame(values, "source_table string, row_id long, value string")).collect()}
+    assert got == {90: "Ein Zertifikat", 91: "Norvane"}
+
+
 def test_lookalikes(spark):
     cases = [("Ｔａｍ", "Tam"), ("Vеlmаr", "Velmar"), ("Cканер", "Сканер"), ("a​b", "ab"), ("a b", "a b"), ("Família", "Família"), ("확인（済）", "확인（済）"), ("確認（済）", "確認（済）"), ("USB-кабель", "USB-кабель"), ("x = α + β", "x = α + β"), ("👩‍🔧", "👩‍🔧"), ("می‌شود", "می‌شود"), ("AⅭT-1", "ACT-1"), ("ﬁeld", "field"), ("½ m²", "½ m²"), ("プﾘﾑ", "プリム")]
     d = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(cases)], "text_id long, text string")
@@ -203,14 +214,16 @@ def test_scanned_pages(spark):
 
 def test_encodings_of_ascii_alone(spark):
     """Texts whose wrong decoding has no character beyond ASCII; others with a plus, a tilde or an escape stay."""
-    clean = ["Jördis Grünefeld", "Größe M", "Notes “A” 14", "x = α + β", "楼兰報告書", "서울 확인", "USB+HDMI-Kabel", "C++ A+B", "tel +49123", "home ~{x}"]
+    clean = ["Jördis Grünefeld", "Größe M", "Notes “A” 14", "x = α + β", "楼兰報告書", "서울 확인", "USB+HDMI-Kabel", "C++ A+B", "tel +49123", "home ~{x}", "报告", "報告書", "楼兰"]
     values = [("t", i, v) for i, v in enumerate(clean * 30)]
     bad = {900: ("J+APY-rdis Gr+APw-nefeld", 0), 901: ("Gr+APYA3w-e M", 1), 902: ("Notes +IBw-A+IB0 14", 2), 903: ("x = +A7E +- +A7I", 3)}
     bad |= {904: (clean[4].encode("iso2022_jp_2").decode("ascii"), 4), 905: (clean[5].encode("iso2022_kr").decode("ascii"), 5), 906: ("楼兰".encode("hz").decode("ascii"), None)}
+    # a second case of each: what one record alone shows isn't learned
+    bad |= {907: ("報告書".encode("iso2022_jp_2").decode("ascii"), 11), 908: ("报告".encode("hz").decode("ascii"), 10), 909: ("확인".encode("iso2022_kr").decode("ascii"), None)}
     values += [("t", i, v) for i, (v, _) in bad.items()]
     d = spark.createDataFrame(values, "source_table string, row_id long, value string")
     got = {r.row_id: r.restored for r in mojibake.find_garbled(d).collect()}
-    assert got == {i: "楼兰" if k is None else clean[k] for i, (_, k) in bad.items()}
+    assert got == {i: clean[k] if k is not None else "楼兰" if i == 906 else "확인" for i, (_, k) in bad.items()}
 
 
 def test_words_stuck_together_and_torn_apart(spark):
