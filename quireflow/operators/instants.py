@@ -2,9 +2,10 @@
 
 Every text is matched against the notations below. A notation gives one reading, a slashed date up to two (day first,
 month first). Expectation-maximisation per source learns how often each reading is meant: a text adds likelihood to
-each reading that is possible for it, and the posteriors choose the reading of texts with more than one. Such a text
-stays marked `ambiguous`; `instant_us` is set only where all possible readings give one instant, `likely_us` always
-has the choice of the posteriors.
+each reading that is possible for it, and the posteriors choose the reading of texts with more than one. An instant's
+posterior is that of all readings that give it; `instant_us` is set where it is 1, that is where no other instant is
+possible. Other texts are marked `ambiguous`; `likely_us` has the choice of the posteriors and `likely_posterior` its
+posterior for every text with a reading.
 
 Status of a text: exact, ambiguous (readings differ), twice and never (local time in an autumn or spring change of the
 clock), no_zone, no_time, not_a_date; null, empty and blank texts are not_a_date. Parts of a microsecond are cut off.
@@ -68,15 +69,25 @@ def _lookup(table: dict, key: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
 
 
-def _part(kind: Column, text: Column, role: str) -> Column:
+def _parts(kind: Column, text: Column) -> Column:
+    """All groups of the matching notation at once, parted by a control character that no notation allows."""
+    chain = None
+    for n in NOTATIONS:
+        marked = "\x01".join(f"${i}" for i in range(1, len(n.roles.split()) + 1))
+        got = F.split(F.regexp_replace(text, n.pattern, marked), "\x01", -1)
+        chain = F.when(kind == n.name, got) if chain is None else chain.when(kind == n.name, got)
+    return chain
+
+
+def _part(kind: Column, parts: Column, role: str) -> Column:
     """What the matching notation holds for the role, null if nothing."""
     chain = None
     for n in NOTATIONS:
         roles = n.roles.split()
         if role in roles:
-            got = F.regexp_extract(text, n.pattern, roles.index(role) + 1)
-            chain = F.when(kind == n.name, got) if chain is None else chain.when(kind == n.name, got)
-    return F.nullif(chain, F.lit(""))
+            at = roles.index(role)
+            chain = F.when(kind == n.name, at) if chain is None else chain.when(kind == n.name, at)
+    return F.nullif(F.get(parts, chain), F.lit(""))
 
 
 def _days(y: Column, m: Column, d: Column) -> Column:
@@ -162,7 +173,8 @@ def normalise_instants(
         hit = F.col("_t").rlike(n.pattern)
         kind = F.when(hit, n.name) if kind is None else kind.when(hit, n.name)
     d = d.withColumn("notation", kind)
-    get = {r: _part(F.col("notation"), F.col("_t"), r) for r in "y v m d a b n h i s f p z o r w e E".split()}
+    d = d.withColumn("_parts", _parts(F.col("notation"), F.col("_t")))
+    get = {r: _part(F.col("notation"), F.col("_parts"), r) for r in "y v m d a b n h i s f p z o r w e E".split()}
     num = lambda r: get[r].cast("int")
     d = d.select(
         "*",
@@ -240,13 +252,16 @@ def normalise_instants(
         .otherwise(how)
     )
     d = d.withColumn("status", F.coalesce(status, F.lit("not_a_date")))
+    # a reading that is possible has a weight above zero, so an instant has posterior 1 only if all possible readings give it
+    one_instant = F.col("_at1").eqNullSafe(F.col("_at2"))
+    posterior = F.when(many, F.when(one_instant, F.lit(1.0)).when(takes_first, share).otherwise(1 - share)).when(F.size("readings") == 1, F.lit(1.0))
     return d.select(
         *keys,
         "notation",
         "status",
-        F.when(F.col("status") == "exact", F.coalesce(F.col("_epoch"), F.col("_at1"), F.col("_at2"))).alias("instant_us"),
+        F.when((F.col("status") == "exact") & (posterior == 1.0), F.coalesce(F.col("_epoch"), F.col("_at1"), F.col("_at2"))).alias("instant_us"),
         F.coalesce(F.col("_epoch"), F.when(takes_first, F.col("_at1")).otherwise(F.col("_at2"))).alias("likely_us"),
-        F.when(many, F.greatest(share, 1 - share)).when(F.size("readings") == 1, F.lit(1.0)).alias("likely_posterior"),
+        posterior.alias("likely_posterior"),
     )
 
 
@@ -263,7 +278,13 @@ def record_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return record_instants(spark, sf_dir).where(F.col("status") == "exact").select("field_name", "row_id", "instant_us")
+    """Values whose likeliest instant has posterior 1."""
+    return record_instants(spark, sf_dir).where((F.col("likely_posterior") == 1.0) & F.col("instant_us").isNotNull()).select("field_name", "row_id", "instant_us")
+
+
+def p3_likely(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ambiguous values: the reading that their source's other values speak for, and its posterior."""
+    return record_instants(spark, sf_dir).where(F.col("status") == "ambiguous").select("field_name", "row_id", "notation", "likely_us", "likely_posterior")
 
 
 def p3_readings(spark: SparkSession, sf_dir: str) -> DataFrame:

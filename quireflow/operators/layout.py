@@ -206,11 +206,10 @@ def markdown_of(blocks: DataFrame) -> DataFrame:
     d = d.withColumn("before", F.lag("kind").over(pg))
     pages = d.groupBy("doc", "page").agg(F.max("resets").alias("r"), F.max_by("nth", "block").alias("trail"), F.max_by("kind", "block").alias("last"))
     by_page = Window.partitionBy("doc").orderBy("page")
-    pages = pages.withColumn("era", F.sum((F.col("r") > 0).cast("int")).over(by_page.rowsBetween(Window.unboundedPreceding, -1)))
-    start = F.sum("trail").over(Window.partitionBy("doc", "era").orderBy("page").rowsBetween(Window.unboundedPreceding, -1))
-    # the pages of an era: those after one with another block, whose own trail opened it
-    opened = F.lag("trail").over(by_page)
-    pages = pages.withColumn("carry", F.coalesce(start, F.lit(0)) + F.coalesce(F.first(F.when(F.coalesce(F.col("era"), F.lit(0)) > 0, opened)).over(Window.partitionBy("doc", "era").orderBy("page")), F.lit(0)))
+    # an era of pages begins with one that has another block; the numbers at the end of its pages add up
+    pages = pages.withColumn("era", F.sum((F.col("r") > 0).cast("int")).over(by_page.rowsBetween(Window.unboundedPreceding, 0)))
+    pages = pages.withColumn("so_far", F.sum("trail").over(Window.partitionBy("doc", "era").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)))
+    pages = pages.withColumn("carry", F.coalesce(F.lag("so_far").over(by_page), F.lit(0)))
     d = d.join(pages.select("doc", "page", "carry", F.lag("last").over(by_page).alias("page_before")), ["doc", "page"])
     ordinal = F.col("nth") + F.when(F.col("resets") == 0, F.col("carry")).otherwise(0)
     lead = F.when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "))).when(number, F.concat(ordinal.cast("string"), F.lit(". "))).when(F.col("kind") == "item", "- ").otherwise("")

@@ -20,10 +20,18 @@ _NUMBER = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?", re.ASCII)
 _WORDS = {"true": True, "false": False, "null": None}
 
 
+#: Whole numbers of more digits than this stay as they are written.
+LONG_NUMBER = 4000
+
+
 def _no_constant(name: str):
     raise ValueError(name)
 
 
+def _whole(digits: str):
+    return int(digits) if len(digits) <= LONG_NUMBER else digits
+
+
 def _parse_deep(text: str):
     """A JSON text nested deeper than the recursive parser can go, read with a stack. ValueError if it isn't complete JSON."""
     scan = json.decoder.scanstring
@@ -65,7 +73,7 @@ def _parse_deep(text: str):
         elif c == '"':
             value, i = scan(text, i + 1, True)
         elif m := _NUMBER.match(text, i):
-            value, i = (float(m[0]) if re.search("[.eE]", m[0]) else int(m[0])), m.end()
+            value, i = (float(m[0]) if re.search("[.eE]", m[0]) else _whole(m[0])), m.end()
         else:
             word = next((w for w in _WORDS if text.startswith(w, i)), None)
             if word is None:
@@ -103,7 +111,7 @@ def parse_json(text: str | None):
     if text is None or not text.strip():
         return False, None
     try:
-        return True, json.loads(text, parse_constant=_no_constant)
+        return True, json.loads(text, parse_constant=_no_constant, parse_int=_whole)
     except RecursionError:
         pass
     except ValueError:
@@ -238,6 +246,64 @@ def flatten_json(df: DataFrame, key: str, body: str) -> DataFrame:
     return once.mapInPandas(walk, f"{key} bigint, schema_path string, path array<int>, parent_path array<int>, name string, value string")
 
 
+def table_rows(text: str | None) -> Iterator[tuple[str, tuple[int, ...], dict[str, str | None]]]:
+    """(schema path, label, fields) of each row that a JSON text flattens into, in written order.
+
+    Objects, and other elements of arrays, are rows; names on the way and [] for elements make the schema path. fields
+    holds the object's own values that are no containers (of an element that is no object, its value under "value"). A label is
+    the label of the row above and the ordinal among that row's rows, so cutting off its last ordinal gives the parent.
+    """
+    ok, root = parse_json(text)
+    if not ok:
+        return
+    show = lambda x: None if x is None else x if isinstance(x, str) else json.dumps(x)
+    counts: dict[tuple, int] = {}
+    # rows to come: value, schema path, label above; a list is walked in place of its elements
+    stack: list[tuple] = [(root, "$", None)]
+    while stack:
+        x, schema, above = stack.pop()
+        if isinstance(x, list):
+            stack.extend((y, f"{schema}[]", above) for y in reversed(x))
+            continue
+        if above is None and "[]" not in schema:
+            label: tuple = ()
+        else:
+            at = above or ()
+            counts[at] = counts.get(at, 0) + 1
+            label = (*at, counts[at])
+        if not isinstance(x, dict):
+            yield schema, label, {"value": show(x)}
+            continue
+        yield schema, label, {k: show(v) for k, v in x.items() if not isinstance(v, (dict, list))}
+        stack.extend((v, f"{schema}.{k}", label) for k, v in reversed(x.items()) if isinstance(v, (dict, list)))
+
+
+def flatten_tables(df: DataFrame, key: str, body: str) -> DataFrame:
+    """table_name, key, label, parent_label, fields: the rows of all flat tables that JSON texts turn into; see table_rows.
+
+    A table is the rows of one table_name; parent_label is label without its last ordinal (null at the top), and names the
+    row above in the same text. Repeated keys count once; null keys and texts that aren't complete JSON give no rows.
+    """
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["table_name", key, "label", "fields"]
+        for pdf in batches:
+            rows: list[tuple] = []
+            for k, text in zip(pdf[key], pdf[body], strict=True):
+                for schema, label, fields in table_rows(text):
+                    rows.append((schema, k, list(label), list(fields.items())))
+                    if len(rows) > 20_000:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
+
+    once = df.where(F.col(key).isNotNull() & F.col(body).isNotNull()).select(key, body).dropDuplicates([key])
+    flat = once.mapInPandas(walk, f"table_name string, {key} bigint, label array<int>, fields array<struct<name string, value string>>")
+    parent = F.when(F.size("label") > 0, F.slice("label", F.lit(1), F.size("label") - 1))
+    return flat.select("table_name", key, "label", parent.alias("parent_label"), F.map_from_entries("fields").alias("fields"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.tables import table
 
@@ -245,11 +311,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tables that the bodies flatten into, by schema path with the depth folded, with their rows and children links."""
+    """The rows of the flat tables that the bodies turn into, with their parent links."""
     from ..sources.tables import table
 
-    nodes = flatten_json(table(spark, sf_dir, "outlines"), "outline_id", "body")
-    last = F.regexp_extract("schema_path", r"([^.]*)$", 1)
-    return nodes.groupBy(last.alias("table_name")).agg(
-        F.count(F.lit(1)).alias("rows"), F.count("value").alias("leaves"), F.max(F.size("path")).alias("deepest"), F.sum(F.when(F.col("parent_path").isNull(), 1).otherwise(0)).alias("roots")
-    )
+    rows = flatten_tables(table(spark, sf_dir, "outlines"), "outline_id", "body")
+    dotted = lambda c: F.array_join(F.col(c).cast("array<string>"), ".")
+    return rows.select("table_name", "outline_id", dotted("label").alias("label"), dotted("parent_label").alias("parent_label"), "fields")

@@ -360,4 +360,4 @@ def colours(spark, d):
     return c.select("text", part(2).alias("r"), part(4).alias("g"), part(6).alias("b"))
 
 
-QUERIES |= {"p3_found": instants.p3_found, "p3_readings": instants.p3_readings, "p4_found": nested.p4_found, "p4_tables": nested.p4_tables}
+QUERIES |= {"p3_found": instants.p3_found, "p3_readings": instants.p3_readings, "p3_likely": instants.p3_likely, "p4_found": nested.p4_found, "p4_tables": nested.p4_tables}

@@ -94,6 +94,19 @@ def test_dewey(spark):
     assert rows[("$.a[].b", (1, 2, 1))] == ("2", [1, 2]) and rows[("$", ())][1] is None
 
 
+def test_tables(spark):
+    d = spark.createDataFrame([(1, '{"a":[{"b":1,"c":[{"x":null},{"x":"y"}]},{"b":2}],"n":{"z":true},"s":[3,[4]]}'), (1, "{}"), (2, "[]"), (3, '{"a'), (4, None), (5, "7")], "k long, body string").limit(6)
+    one = nested.flatten_tables(d.where("body like '%z%' or k > 1"), "k", "body").collect()
+    rows = {(r.k, tuple(r.label)): (r.table_name, None if r.parent_label is None else tuple(r.parent_label), r.fields) for r in one}
+    assert rows == {
+        (1, ()): ("$", None, {}), (1, (1,)): ("$.a[]", (), {"b": "1"}), (1, (1, 1)): ("$.a[].c[]", (1,), {"x": None}), (1, (1, 2)): ("$.a[].c[]", (1,), {"x": "y"}), (1, (2,)): ("$.a[]", (), {"b": "2"}),
+        (1, (3,)): ("$.n", (), {"z": "true"}), (1, (4,)): ("$.s[]", (), {"value": "3"}), (1, (5,)): ("$.s[][]", (), {"value": "4"}), (5, ()): ("$", None, {"value": "7"}),
+    }
+    long = "9" * 6000
+    assert [x[1]["page"] for x in nested.bookmark_nodes('[{"title":"a","page":' + long + "}]")] == [long]
+    assert nested.parse_json("[" * 5000 + long + "]" * 5000)[0]
+
+
 def test_functions(spark):
     d = spark.createDataFrame([("CN=A B,OU=x", 1536, "fox foxes unfox fox.", "a & <b>")], "s string, n long, t string, x string")
     r = d.select(T.common_name(F.col("s")).alias("cn"), T.human_size(F.col("n")).alias("size"), F.regexp_count("t", F.lit(T.whole_word("fox"))).alias("whole"), T.xml_escaped(F.col("x")).alias("x"), T.truncated(F.col("t"), 3).alias("cut")).collect()[0]
