@@ -99,9 +99,15 @@ def taken_up(points: DataFrame) -> DataFrame:
     listed = lambda values: F.split(F.lit(" ".join(values)), " ")
     joined = F.map_from_arrays(listed([b + m for b, m, _ in composed_table()]), listed([c for _, _, c in composed_table()]))
     marks = points.where(F.col("mark") & F.col("base").isNotNull()).join(classes, "ch")
-    clusters = marks.groupBy("text_id", "base").agg(F.array_sort(F.collect_list(F.struct("cls", "pos", "ch"))).alias("marks"))
+    clusters = marks.groupBy("text_id", "base").agg(F.collect_list(F.struct("cls", "pos", "ch")).alias("marks"))
+    # a letter that is composed already is taken apart first: a mark of a lower class goes before its own (pos -1)
+    whole = [(c, unicodedata.normalize("NFD", c)) for _, _, c in composed_table() if unicodedata.combining(unicodedata.normalize("NFD", c)[1])]
+    apart = F.element_at(F.map_from_arrays(listed([c for c, _ in whole]), listed([d for _, d in whole])), F.col("base.ch"))
+    class_of = F.map_from_arrays(listed([c for c, _ in class_table()]), F.transform(listed([str(k) for _, k in class_table()]), lambda x: x.cast("int")))
+    own = F.transform(F.filter(F.split(F.substring(apart, 2, 9), ""), lambda c: c != ""), lambda c: F.struct(F.element_at(class_of, c).alias("cls"), F.lit(-1).alias("pos"), c.alias("ch")))
+    clusters = clusters.select("text_id", F.coalesce(F.substring(apart, 1, 1), F.col("base.ch")).alias("b"), F.array_sort(F.concat("marks", F.coalesce(own, F.array().cast("array<struct<cls:int,pos:int,ch:string>>")))).alias("marks"))
     # many letters have the same marks: the table is asked once for each such sequence
-    kinds = clusters.select(F.col("base.ch").alias("b"), F.transform("marks", lambda x: F.struct(x["cls"].alias("cls"), x["ch"].alias("ch"))).alias("m")).distinct()
+    kinds = clusters.select("b", F.transform("marks", lambda x: F.struct(x["cls"].alias("cls"), x["ch"].alias("ch"))).alias("m")).distinct()
     start = F.struct(F.col("b").alias("cur"), F.lit(-1).alias("last"), F.array().cast("array<boolean>").alias("took"))
 
     def step(s: Column, x: Column) -> Column:
@@ -110,8 +116,8 @@ def taken_up(points: DataFrame) -> DataFrame:
         return F.struct(F.when(takes, to).otherwise(s["cur"]).alias("cur"), F.when(takes, s["last"]).otherwise(x["cls"]).alias("last"), F.array_append(s["took"], F.coalesce(takes, F.lit(False))).alias("took"))
 
     told = kinds.select("b", "m", F.aggregate("m", start, step)["took"].alias("took"))
-    hits = clusters.withColumn("b", F.col("base.ch")).withColumn("m", F.transform("marks", lambda x: F.struct(x["cls"].alias("cls"), x["ch"].alias("ch")))).join(told, ["b", "m"])
-    return hits.select("text_id", F.explode(F.filter(F.zip_with("marks", "took", lambda x, t: F.when(t, x["pos"])), lambda p: p.isNotNull())).alias("pos"))
+    hits = clusters.withColumn("m", F.transform("marks", lambda x: F.struct(x["cls"].alias("cls"), x["ch"].alias("ch")))).join(told, ["b", "m"])
+    return hits.select("text_id", F.explode(F.filter(F.zip_with("marks", "took", lambda x, t: F.when(t & (x["pos"] >= 0), x["pos"])), lambda p: p.isNotNull())).alias("pos"))
 
 
 def code_points(texts: DataFrame) -> DataFrame:
