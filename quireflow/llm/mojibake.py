@@ -19,7 +19,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 import regex
@@ -104,17 +103,16 @@ def _plain(text: str) -> bool:
 
 
 def unshift(text: str, codec: str) -> str | None:
-    """The text of one written by an encoding of ASCII alone; null if it isn't such."""
+    """The text of one written by an encoding of ASCII alone; null if it isn't such, or if halves of a surrogate pair would be left (Python's UTF-7 lets them pass; they are no text and no UTF-8)."""
     if not text.isascii() or not regex.search(SHIFTS[codec], text):
         return None
     data = text.encode("ascii")
     if codec == "iso2022_kr" and not data.startswith(b"\x1b$)C"):  # announced once, at the beginning of a text
         data = b"\x1b$)C" + data
     t = _decode(data, codec)
-    return None if t is None or t == text else t
+    return None if t is None or t == text or regex.search(r"\p{Cs}", t) else t
 
 
-@lru_cache(maxsize=50_000)
 def readings(chunk: str) -> tuple[tuple[str, tuple[str, ...]], ...]:
     """(restored, ways) of each text that the chunk may have been, with all ways of decoding it wrongly that lead to it."""
     found: dict[str, list[str]] = {}
@@ -324,9 +322,11 @@ def find_garbled(values: DataFrame, learn=learned_ways) -> DataFrame:
     mark = F.pandas_udf(lambda s: s.map(lambda v: restore_marked(v) if v is not None else None), "string")
     sure = sure.select("source_table", "row_id", "value", mark("value").alias("marked"))
     odd = values.where(F.col("value").rlike(ODD)).select("source_table", "row_id", "value", F.posexplode(F.split("value", " ")).alias("i", "chunk"))
-    hits = odd.join(bad, "chunk", "left")
-    whole = F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("restored", "chunk").alias("t")))), lambda x: x["t"]))
-    hits = hits.groupBy("source_table", "row_id").agg(F.any_value("value").alias("v"), whole.alias("joined"), F.max("way").alias("way")).where(F.col("way").isNotNull())
+    # only odd chunks can be bad, so that no others are moved; a value is put together from its own chunks and the restored ones by their places
+    hits = odd.where(F.col("chunk").rlike(ODD)).join(bad, "chunk")
+    hits = hits.groupBy("source_table", "row_id").agg(F.any_value("value").alias("v"), F.map_from_entries(F.collect_list(F.struct("i", "restored"))).alias("at"), F.max("way").alias("way"))
+    whole = F.array_join(F.transform(F.split("v", " "), lambda chunk, i: F.coalesce(F.try_element_at("at", i), chunk)), " ")
+    hits = hits.select("source_table", "row_id", "v", whole.alias("joined"), "way")
     rest = F.pandas_udf(lambda v, way: pd.Series([unshift(x, y.removesuffix(" read as ascii")) for x, y in zip(v, way, strict=True)], dtype=object), "string")
     hits = hits.withColumn("joined", F.when(F.col("way").endswith(" read as ascii"), F.coalesce(rest("v", "way"), "joined")).otherwise(F.col("joined")))
     both = sure.join(hits, ["source_table", "row_id"], "full").join(apart, ["source_table", "row_id"], "full")

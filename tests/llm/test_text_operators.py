@@ -226,6 +226,14 @@ def test_encodings_of_ascii_alone(spark):
     assert got == {i: clean[k] if k is not None else "楼兰" if i == 906 else "확인" for i, (_, k) in bad.items()}
 
 
+def test_halves_of_surrogate_pairs(spark):
+    """A UTF-7 value in which a cut character leaves half of a surrogate pair is restored chunk by chunk; the half stays as it is written."""
+    values = [("t", i, v) for i, v in enumerate(["Jördis Grünefeld", "Größe M"] * 30)] + [("t", 900, "J+APY-rdis Gr+APw-nefeld +2D0-"), ("t", 901, "Gr+APYA3w-e M"), ("t", 902, "J+APY-rdis  +2AA-")]
+    d = spark.createDataFrame(values, "source_table string, row_id long, value string")
+    got = {r.row_id: r.restored for r in mojibake.find_garbled(d).collect()}
+    assert got == {900: "Jördis Grünefeld +2D0-", 901: "Größe M", 902: "Jördis  +2AA-"}
+
+
 def test_words_stuck_together_and_torn_apart(spark):
     """Within a line: two words read as one, one word read as two; across lines, with and without a hyphen."""
     rows = []
