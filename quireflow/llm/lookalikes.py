@@ -244,7 +244,11 @@ def field_points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 def plain_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """text_id, plain, odd of the form values beyond ASCII (all others are plain as they are)."""
     texts, shapes = field_points(spark, sf_dir)
-    d = _rebuilt(judge(code_points(texts), [], all_texts=False), [])
+    return _decided(_rebuilt(judge(code_points(texts), [], all_texts=False), []), shapes)
+
+
+def _decided(d: DataFrame, shapes: DataFrame) -> DataFrame:
+    """text_id, plain, odd of rebuilt form values."""
     # a value that may be all of another alphabet is judged by whether values of its Latin shape occur
     open_ones = d.where(F.col("undecided")).join(shapes, _shape(F.col("as_latin")) == F.col("shape"), "left")
     return d.where(~F.col("undecided")).select("text_id", "plain", "odd").unionByName(
@@ -252,18 +256,43 @@ def plain_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc, page, line, pos, ch, char_id of the glyphs, as they stand in the table."""
+    chars = table(spark, sf_dir, "chars").where(F.col("char_id").isNotNull() & (F.length("ch") > 0))
+    return chars.select("doc", "page", F.round(F.col("rect.bottom") * 4).alias("line"), F.col("idx").alias("pos"), "ch", "char_id")
+
+
 def glyph_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """text_id, pos, ch, char_id of the glyphs: a text is a line of a page (glyphs of one base line)."""
-    chars = table(spark, sf_dir, "chars").where(F.col("char_id").isNotNull() & (F.length("ch") > 0))
-    line = F.struct("doc", "page", F.round(F.col("rect.bottom") * 4).alias("line"))
-    points = spread_texts(chars.select(line.alias("text_id"), F.col("idx").alias("pos"), "ch", "char_id"), chars.count())
+    chars = _glyphs(spark, sf_dir)
+    points = spread_texts(chars.select(F.struct("doc", "page", "line").alias("text_id"), "pos", "ch", "char_id"), chars.count())
     return points.dropDuplicates(["text_id", "char_id"])  # a repeated row stands in the same line
 
 
+def all_points(texts: DataFrame, glyphs: DataFrame) -> DataFrame:
+    """text_id, pos, ch, char_id of form values (text_id, text) and glyphs, so that one plan judges both.
+
+    text_id holds the value's field_id, or the doc, page and line of glyphs; the char_id of a value's code points is null.
+    """
+    number = (texts.agg(F.sum(F.length("text"))).first()[0] or 0) + glyphs.count()
+    fields = texts.select(F.col("text_id").alias("field_id"), F.col("text").alias("ch"))
+    rows = fields.unionByName(glyphs, allowMissingColumns=True).select(F.struct("field_id", "doc", "page", "line").alias("text_id"), "pos", "ch", "char_id")
+    rows = spread_texts(rows, number).dropDuplicates(["text_id", "char_id"])  # a repeated row stands in the same line
+    # a glyph is one point, of however many characters; values are taken apart after they were moved
+    parts = F.when(F.col("char_id").isNull(), F.split("ch", "")).otherwise(F.array("ch"))
+    points = rows.select("text_id", "char_id", "pos", F.posexplode(parts).alias("at", "ch"))
+    return points.select("text_id", F.when(F.col("char_id").isNull(), F.col("at")).otherwise(F.col("pos")).alias("pos"), "ch", "char_id").where(F.length("ch") > 0)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    garbled = find_garbled(text_values(spark, sf_dir)).where(F.col("source_table") == "form_fields").select(F.col("row_id").alias("text_id"))
-    fields = plain_fields(spark, sf_dir).where(F.col("odd")).join(garbled, "text_id", "left_anti").select(F.lit("form_fields").alias("source_table"), F.col("text_id").alias("row_id"))
-    glyphs = judge(glyph_points(spark, sf_dir), ["char_id"], all_texts=False).where(F.col("odd") | F.col("undecided")).select(F.lit("chars").alias("source_table"), F.col("char_id").alias("row_id"))
+    # the driver keeps every stage's plan, code and metrics: steps are planned one after another, and values and glyphs are judged by one plan
+    garbled = cut_lineage(find_garbled(text_values(spark, sf_dir)).where(F.col("source_table") == "form_fields").select(F.col("row_id").alias("text_id")))
+    texts, shapes = field_points(spark, sf_dir)
+    judged = judge(all_points(texts, _glyphs(spark, sf_dir)), ["char_id"], all_texts=False)
+    judged = cut_lineage(judged.where(F.col("char_id").isNull() | F.col("odd") | F.col("undecided")))
+    values = _rebuilt(judged.where(F.col("char_id").isNull()).withColumn("text_id", F.col("text_id.field_id")), [])
+    fields = _decided(values, shapes).where(F.col("odd")).join(garbled, "text_id", "left_anti").select(F.lit("form_fields").alias("source_table"), F.col("text_id").alias("row_id"))
+    glyphs = judged.where(F.col("char_id").isNotNull()).select(F.lit("chars").alias("source_table"), F.col("char_id").alias("row_id"))
     return fields.unionByName(glyphs)
 
 

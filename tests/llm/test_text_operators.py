@@ -144,6 +144,22 @@ def test_lookalikes(spark):
     assert {i: got[i] for i in range(len(cases)) if i != 6} == {i: (b, a != b) for i, (a, b) in enumerate(cases) if i != 6}
 
 
+def test_values_and_glyphs_are_judged_together(spark, tmp_path, monkeypatch):
+    """One plan for both, in which a value and a line of glyphs never mix; a glyph of two characters is one point, repeated rows count once."""
+    fields = [(1, "Vеlmаr"), (2, "Velmar"), (3, None), (4, "Ｔａｍ"), (4, "Ｔａｍ"), (5, "Família"), (6, "ﬁeld")]
+    line = lambda doc, bottom, glyphs, start: [(start + i, doc, 1, i, g, (0.0, bottom, 1.0, bottom + 1)) for i, g in enumerate(glyphs)]
+    chars = line("1", 10.0, ["V", "е", "l", "m", "а", "r"], 1) + line("1", 20.0, ["С", "к", "а", "н"], 20) + line("2", 10.0, ["e\u0301", "e", "\u0301", "x"], 30) + line(None, 10.0, ["Ｔ", "a"], 40)
+    spark.createDataFrame(fields, "field_id long, value string").write.parquet(f"{tmp_path}/form_fields.parquet")
+    spark.createDataFrame([(1, "Velmar")], "sig_id long, declared_name string").write.parquet(f"{tmp_path}/signatures.parquet")
+    spark.createDataFrame([(1, "Velmar")], "bookmark_id long, title string").write.parquet(f"{tmp_path}/bookmarks.parquet")
+    spark.createDataFrame(chars + chars[:2], "char_id long, doc string, page int, idx int, ch string, rect struct<left:float,bottom:float,right:float,top:float>").write.parquet(f"{tmp_path}/chars.parquet")
+    judge, calls = lookalikes.judge, []
+    monkeypatch.setattr(lookalikes, "judge", lambda *a, **k: calls.append(a) or judge(*a, **k))
+    got = sorted((r.source_table, r.row_id) for r in lookalikes.p5_found(spark, str(tmp_path)).collect())
+    assert got == sorted([("form_fields", i) for i in (1, 4, 6)] + [("chars", i) for i in (2, 5, 32, 40)])
+    assert len(calls) == 1
+
+
 def test_confusions():
     for read, printed in (("mariual", "manual"), ("tbe", "the"), ("f0rrn", "form"), ("4S0", "###"), ("enthalt", "enthält"), ("mi5smg", "missing")):
         assert scans.edits(read, printed)
