@@ -160,6 +160,17 @@ def test_values_and_glyphs_are_judged_together(spark, tmp_path, monkeypatch):
     assert len(calls) == 1
 
 
+def test_points_are_moved_once(spark, tmp_path):
+    """Values and glyphs are moved to their text's partition and no more; marks that stand at one place are each found once."""
+    texts = spark.createDataFrame([(1, "Vеlmаr"), (2, "e\u0301 x")], "text_id long, text string")
+    glyphs = [(1, "d", 1, 0, "a", (0.0, -0.1, 1.0, 1.0)), (2, "d", 1, 1, "\u0323", (0.0, 0.1, 1.0, 1.0)), (3, "d", 1, 1, "\u0302", (0.0, 0.0, 1.0, 1.0)), (3, "d", 1, 1, "\u0302", (0.0, 0.0, 1.0, 1.0)), (4, "d", 1, 2, "b", (0.0, float("nan"), 1.0, 1.0))]
+    spark.createDataFrame(glyphs, "char_id long, doc string, page int, idx int, ch string, rect struct<left:float,bottom:float,right:float,top:float>").write.parquet(f"{tmp_path}/chars.parquet")
+    judged = lookalikes.judge(lookalikes.all_points(texts, lookalikes._glyphs(spark, str(tmp_path))), ["char_id"], all_texts=False)
+    plan = judged._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+    assert sorted((r.char_id or 0, r.text_id.field_id or 0, r.pos) for r in judged.where("odd").collect()) == [(0, 1, 1), (0, 1, 4), (0, 2, 1), (2, 0, 1), (3, 0, 1)]
+
+
 def test_confusions():
     for read, printed in (("mariual", "manual"), ("tbe", "the"), ("f0rrn", "form"), ("4S0", "###"), ("enthalt", "enthält"), ("mi5smg", "missing")):
         assert scans.edits(read, printed)
